@@ -71,31 +71,7 @@ def near_pairs(points: DataFrame, id_col: str, lon: str, lat: str, radius: str,
         F.col(f"`{lat}`").cast("double").alias("y"),
         F.when((given > 0) & ~F.isnan(given), given).otherwise(F.lit(float(default_m))).alias("r"),
     ).filter(usable(F.col("x"), F.col("y")) & F.col("id").isNotNull())
-    leveled = base.withColumn("level", F.least(_level(F.col("r")), F.lit(TOP_LEVEL)))
-    levels = sorted(row[0] for row in leveled.select("level").distinct().collect())  # ten at most
-    strip = F.floor((F.col("y") + 90) / _strip_height(F.col("level"))).cast("bigint")
-    held = leveled.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")))
-    held = held.select("level", strip.alias("strip"), "id", "x", "y", "r")
-    held = held.withColumn("cell", _cell(F.col("x"), _cells_around(F.col("strip"), F.col("level"))))
-    height = _strip_height(F.col("level"))
-    reach = F.col("r") / DEGREE_M * 1.001
-    top = F.floor(180.0 / height)
-    first = F.greatest(F.lit(0), F.floor((F.col("y") - reach + 90) / height))
-    last = F.least(top, F.floor((F.col("y") + reach + 90) / height))
-    seek = leveled.select("level", "id", "x", "y", "r", F.explode(F.sequence(first, last)).alias("strip"))
-    count = _cells_around(F.col("strip"), F.col("level"))
-    ratio = F.sin(F.radians(F.least(reach, F.lit(89.0)))) / F.greatest(F.cos(F.radians(F.col("y"))), F.lit(1e-12))
-    wide = (ratio >= 1.0) | (F.abs("y") + reach >= 90) | (reach >= 89.0)
-    spread = F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.001
-    seek = seek.withColumn("n", count).withColumn("spread", F.when(wide, F.lit(180.0)).otherwise(spread))
-    lo = F.floor((F.col("x") - F.col("spread") + 180) / 360.0 * F.col("n"))
-    hi = F.floor((F.col("x") + F.col("spread") + 180) / 360.0 * F.col("n"))
-    seek = seek.select(
-        "level", "strip", F.explode(F.sequence(lo, F.least(hi, lo + F.col("n") - 1))).alias("c"), "n", "id", "x", "y", "r"
-    ).select(
-        "level", "strip", F.pmod("c", "n").alias("cell"), F.col("id").alias("i"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("r").alias("sr")
-    )
-    pairs = salted_join(seek, held, ["level", "strip", "cell"])
+    pairs = within_reach(base.select(F.col("id").alias("i"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("r").alias("sr")), base)
     first_finds = (F.col("sr") > F.col("r")) | ((F.col("sr") == F.col("r")) & (F.col("i") < F.col("id")))
     return (
         pairs.filter(first_finds & (F.col("i") != F.col("id")))
@@ -105,6 +81,33 @@ def near_pairs(points: DataFrame, id_col: str, lon: str, lat: str, radius: str,
     )
 
 
+def within_reach(seekers: DataFrame, held: DataFrame) -> DataFrame:
+    """Candidate pairs of ``seekers`` (sx, sy, reach sr in metres, more) and ``held`` points (x, y, more), each pair once.
+
+    Every pair within the seeker's reach is among them; most others are not. Names of the two sides must differ.
+    """
+    leveled = seekers.withColumn("level", F.least(_level(F.col("sr")), F.lit(TOP_LEVEL)))
+    levels = sorted(row[0] for row in leveled.select("level").distinct().collect())  # ten at most
+    strip = F.floor((F.col("y") + 90) / _strip_height(F.col("level"))).cast("bigint")
+    placed = held.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")))
+    placed = placed.withColumn("strip", strip)
+    placed = placed.withColumn("cell", _cell(F.col("x"), _cells_around(F.col("strip"), F.col("level"))))
+    height = _strip_height(F.col("level"))
+    reach = F.col("sr") / DEGREE_M * 1.01  # degrees of latitude; the margin covers the ellipsoid
+    first = F.greatest(F.lit(0), F.floor((F.col("sy") - reach + 90) / height))
+    last = F.least(F.floor(180.0 / height), F.floor((F.col("sy") + reach + 90) / height))
+    seek = leveled.withColumn("strip", F.explode(F.sequence(first, last)))
+    ratio = F.sin(F.radians(F.least(reach, F.lit(89.0)))) / F.greatest(F.cos(F.radians(F.col("sy"))), F.lit(1e-12))
+    wide = (ratio >= 1.0) | (F.abs("sy") + reach >= 90) | (reach >= 89.0)
+    spread = F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.001
+    seek = seek.withColumn("_n", _cells_around(F.col("strip"), F.col("level"))).withColumn("_spread", F.when(wide, F.lit(180.0)).otherwise(spread))
+    lo = F.floor((F.col("sx") - F.col("_spread") + 180) / 360.0 * F.col("_n"))
+    hi = F.floor((F.col("sx") + F.col("_spread") + 180) / 360.0 * F.col("_n"))
+    seek = seek.withColumn("_c", F.explode(F.sequence(lo, F.least(hi, lo + F.col("_n") - 1))))
+    seek = seek.withColumn("cell", F.pmod("_c", "_n")).drop("_c", "_n", "_spread")
+    return salted_join(seek, placed, ["level", "strip", "cell"]).drop("level", "strip", "cell")
+
+
 GEOJSON = (
     "struct<type:string,geometry:struct<type:string,coordinates:string>,"
     "features:array<struct<geometry:struct<type:string,coordinates:string>>>>"
@@ -125,50 +128,50 @@ def rings(zones: DataFrame, id_col: str, geojson: str) -> DataFrame:
 
 
 def edges(ring: DataFrame) -> DataFrame:
-    """``zone, ax, ay, bx, by``: the straight edges of rings, closing edge included, level ones left out."""
+    """``zone, ax, ay, bx, by``: the straight edges of rings, closing edge included."""
     n = F.size("pts")
     following = F.concat(F.slice("pts", 2, n - 1), F.slice("pts", 1, 1))
     pairs = ring.select("zone", F.explode(F.arrays_zip(F.col("pts").alias("a"), following.alias("b"))).alias("e"))
     pairs = pairs.select("zone", F.col("e.a")[0].alias("ax"), F.col("e.a")[1].alias("ay"), F.col("e.b")[0].alias("bx"), F.col("e.b")[1].alias("by"))
-    return pairs.filter((F.col("ay") != F.col("by")) & F.col("ax").isNotNull() & F.col("bx").isNotNull())
+    same = (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
+    return pairs.filter(F.col("ax").isNotNull() & F.col("bx").isNotNull() & F.col("ay").isNotNull() & F.col("by").isNotNull() & ~same)
 
 
-def containing_zones(
-    points: DataFrame, id_col: str, lon: str, lat: str, zones: DataFrame, zone_id: str, geojson: str, strip_deg: float = 0.25, cell_deg: float = 2.0
-) -> DataFrame:
-    """``point, zone``: the zones whose area, holes excluded, holds the point; overlapping zones each count.
+def contained(points: DataFrame, ring: DataFrame, strip_deg: float = 0.25, cell_deg: float = 2.0) -> DataFrame:
+    """``point, zone`` for ``points`` (point, x, y; no nulls) strictly within the area of a zone's rings.
 
-    A ray due east from the point crosses an edge if one end is above the point's latitude and the other is not, and
-    the edge lies east of the point there; an odd number of crossings over all rings of a zone is inside, whatever the
-    direction of rings and whether they are closed. A point exactly on an edge that rises is inside to its east and
-    outside to its west side (half-open rule, so zones sharing a border share no point); vertices count once. Points
-    with an unusable position, and null ids, take no part; (0, 0) and out-of-range points neither.
+    Edges are binned into latitude strips and joined to the points of their strip; to keep points from meeting regions
+    elsewhere on the strip, both are also keyed by the longitude cells the region spans there. A ray due east from the
+    point crosses an edge if one end is above the point's latitude and the other is not, and the edge lies east of the
+    point there; an odd number of crossings over all rings of a zone is inside, whatever the direction of rings and
+    whether they are closed. Vertices count once by this half-open rule, and points on an edge are taken out explicitly.
     """
-    base = points.select(
-        F.col(f"`{id_col}`").alias("point"), F.col(f"`{lon}`").cast("double").alias("x"), F.col(f"`{lat}`").cast("double").alias("y")
-    ).filter(usable(F.col("x"), F.col("y")) & F.col("point").isNotNull())
-    base = base.withColumn("strip", F.floor((F.col("y") + 90) / strip_deg)).withColumn("cell", F.floor((F.col("x") + 180) / cell_deg))
-    line = edges(rings(zones, zone_id, geojson)).withColumns(
-        {"lo": F.least("ay", "by"), "hi": F.greatest("ay", "by"), "west": F.least("ax", "bx"), "east": F.greatest("ax", "bx")}
-    )
-    binned = line.withColumn(
-        "strip", F.explode(F.sequence(F.floor((F.col("lo") + 90) / strip_deg), F.floor((F.col("hi") + 90) / strip_deg)))
-    )
+    base = points.withColumn("strip", F.floor((F.col("y") + 90) / strip_deg)).withColumn("cell", F.floor((F.col("x") + 180) / cell_deg))
+    line = edges(ring).withColumns({"lo": F.least("ay", "by"), "hi": F.greatest("ay", "by"), "west": F.least("ax", "bx"), "east": F.greatest("ax", "bx")})
+    in_strips = F.sequence(F.floor((F.col("lo") + 90) / strip_deg), F.floor((F.col("hi") + 90) / strip_deg))
+    binned = line.withColumn("strip", F.explode(in_strips))
     spans = binned.groupBy("zone", "strip").agg(
         F.floor((F.min("west") + 180) / cell_deg).alias("c0"), F.floor((F.max("east") + 180) / cell_deg).alias("c1")
     )
     # A point west of all of a zone's edges in its strip crosses an even number, one east of them none: those cells need no edges.
-    placed = binned.join(spans, ["zone", "strip"]).select(
-        "strip", F.explode(F.sequence("c0", "c1")).alias("cell"), "zone", "ax", "ay", "bx", "by"
-    )
+    placed = binned.join(spans, ["zone", "strip"]).select("strip", F.explode(F.sequence("c0", "c1")).alias("cell"), "zone", "ax", "ay", "bx", "by")
     hits = salted_join(base, placed, ["strip", "cell"])
-    above = F.col("ay") > F.col("y")
-    crosses = above != (F.col("by") > F.col("y"))
-    at = F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    return (
-        hits.filter(crosses & (at > F.col("x")))
-        .groupBy("point", "zone")
-        .agg(F.count(F.lit(1)).alias("_crossings"))
-        .filter(F.col("_crossings") % 2 == 1)
-        .select("point", "zone")
-    )
+    x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
+    at = ax + (y - ay) * (bx - ax) / F.when(ay != by, by - ay)
+    crosses = F.coalesce(((ay > y) != (by > y)) & (at > x), F.lit(False))
+    within = y.between(F.least(ay, by), F.greatest(ay, by)) & x.between(F.least(ax, bx), F.greatest(ax, bx))
+    touches = within & ((x - ax) * (by - ay) == (y - ay) * (bx - ax))
+    counted = hits.filter(crosses | touches).groupBy("point", "zone").agg(F.sum(crosses.cast("int")).alias("_crossings"), F.max(touches).alias("_on"))
+    return counted.filter((F.col("_crossings") % 2 == 1) & ~F.col("_on")).select("point", "zone")
+
+
+def containing_zones(points: DataFrame, id_col: str, lon: str, lat: str, zones: DataFrame, zone_id: str, geojson: str) -> DataFrame:
+    """``point, zone``: the zones whose area, holes excluded, holds the point strictly; overlapping zones each count.
+
+    Points with an unusable position (null, NaN, out of range, (0, 0)) and null ids take no part; zones without a
+    readable Polygon or MultiPolygon hold nothing. Expects one row for each point id.
+    """
+    base = points.select(
+        F.col(f"`{id_col}`").alias("point"), F.col(f"`{lon}`").cast("double").alias("x"), F.col(f"`{lat}`").cast("double").alias("y")
+    ).filter(usable(F.col("x"), F.col("y")) & F.col("point").isNotNull())
+    return contained(base, rings(zones, zone_id, geojson))

@@ -212,22 +212,22 @@ ORACLES["keyed_max_full"] = """SELECT o_custkey::VARCHAR AS _key, o_orderkey, o_
     QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1"""
 
 
-def _ordered(name: str, function: str, sql: str, const: float | None = None) -> None:
-    """Functions of encounter order: prices (in 100,000) of each customer's orders, by order key."""
+def _ordered(name: str, function: str, sql: str, const: float | None = None, unit: int = 1) -> None:
+    """Functions of encounter order: prices (in ``unit``) of each customer's orders, by order key."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        df = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 100000).alias("v"))
+        df = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / unit).alias("v"))
         out = maths.keyed_math(pairs.map_to_pair(df, ["o_custkey"], ["o_orderkey", "v"]), function, "v", const, order="o_orderkey")
-        return out.withColumn("_result", F.round("_result", 6))
+        return out.withColumn("_result", F.round("_result", 6 if unit > 1 else 2))
 
     QUERIES[name] = run
-    ORACLES[name] = f"""WITH t AS (SELECT o_custkey::VARCHAR AS _key, o_orderkey AS o, o_totalprice / 100000 AS v,
-        abs(v - lag(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) AS step FROM orders) SELECT _key, round({sql}, 6) AS _result FROM t GROUP BY 1"""
+    ORACLES[name] = f"""WITH t AS (SELECT o_custkey::VARCHAR AS _key, o_orderkey AS o, o_totalprice / {unit} AS v,
+        abs(v - lag(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) AS step FROM orders) SELECT _key, round({sql}, {6 if unit > 1 else 2}) AS _result FROM t GROUP BY 1"""
 
 
 _ordered("keyed_subtract", "SUBTRACT", "2 * arg_min(v, o) - sum(v)")
-_ordered("keyed_div", "DIV", "arg_min(v, o) / (product(v) / arg_min(v, o))")
-_ordered("keyed_equality_const", "EQUALITY", "CASE WHEN coalesce(max(step), 0) < 1.5 THEN 1.0::DOUBLE ELSE 0 END", 1.5)
+_ordered("keyed_div", "DIV", "arg_min(v, o) / (product(v) / arg_min(v, o))", unit=100000)
+_ordered("keyed_equality_const", "EQUALITY", "CASE WHEN coalesce(max(step), 0) < 150000 THEN 1.0::DOUBLE ELSE 0 END", 150000.0)
 
 
 def _by_row(function: str, sql: str, const: float | None = None) -> None:
