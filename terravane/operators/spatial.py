@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geodesic
 from terravane.operators.nearby import contained, haversine_m, usable, within_reach
-from terravane.sources.spatial import with_centres
+from terravane.sources.spatial import flat_rings, split_rings, with_centres
 from terravane.stream import POINT_COLUMNS, POLYGON_COLUMNS, TRACK_COLUMNS
 
 PINNING = ["SEGMENT_CENTROIDS", "TRACK_CENTROIDS", "SEGMENT_STARTS", "TRACK_STARTS", "INPUT_PINS"]
@@ -94,15 +94,14 @@ def polygon_stats(polygons: DataFrame) -> DataFrame:
     """Polygons with ``_perimeter`` of the shell (m) and ``_area`` of the shell less its holes (m2) among their properties."""
 
     @F.pandas_udf("perimeter double, area double")
-    def measure(lons: pd.Series, lats: pd.Series) -> pd.DataFrame:
+    def measure(lons: pd.Series, lats: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         rows = []
-        for x, y in zip(lons, lats):
-            found = [geodesic.ring_measures(a, b) for a, b in zip(x, y)]
+        for x, y, n in zip(lons, lats, sizes):
+            found = [geodesic.ring_measures(r[:, 0], r[:, 1]) for r in split_rings(x, y, n)]
             rows.append((found[0][0], found[0][1] - sum(f[1] for f in found[1:])) if found else (0.0, 0.0))
         return pd.DataFrame(rows, columns=["perimeter", "area"])
 
-    axis = lambda name: F.transform("rings", lambda ring: F.transform(ring, lambda p: p[name]))
-    measured = polygons.withColumn("_m", measure(axis("lon"), axis("lat")))
+    measured = polygons.withColumn("_m", measure(*flat_rings()))
     extra = F.create_map(F.lit("_perimeter"), F.col("_m.perimeter").cast("string"), F.lit("_area"), F.col("_m.area").cast("string"))
     own = F.map_filter("props", lambda k, _: ~k.isin("_perimeter", "_area"))
     return measured.withColumn("props", F.map_concat(own, extra)).select(*POLYGON_COLUMNS)

@@ -58,6 +58,18 @@ def _rings(coordinates: Column) -> Column:
     return F.transform(coordinates, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
 
 
+def flat_rings(rings: str = "rings") -> tuple[Column, Column, Column]:
+    """Longitudes and latitudes of all points, and the size of each ring: what pandas UDFs can take of ragged rings."""
+    axis = lambda name: F.flatten(F.transform(rings, lambda ring: F.transform(ring, lambda p: p[name])))
+    return axis("lon"), axis("lat"), F.transform(rings, lambda ring: F.size(ring))
+
+
+def split_rings(lon: np.ndarray, lat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Rings as arrays of (lon, lat) from their flat form."""
+    points = np.stack([np.asarray(lon, float), np.asarray(lat, float)], 1)
+    return np.split(points, np.cumsum(np.asarray(sizes, int))[:-1])
+
+
 def _polygon_rows(features: DataFrame) -> DataFrame:
     single = F.array(F.from_json("coordinates", "array<array<array<double>>>"))
     many = F.from_json("coordinates", "array<array<array<array<double>>>>")
@@ -271,7 +283,7 @@ def road_polygons(lines: DataFrame, name: str, kind: str, width: str, multiplier
             out.append(shapes)
         return pd.Series(out)
 
-    shaped = legs.select("props", F.explode(outlines("r", "lat", "lon", "a")).alias("rings"))
+    shaped = legs.withColumn("_shapes", outlines("r", "lat", "lon", "a")).select("props", F.explode("_shapes").alias("rings"))
     return with_centres(shaped)
 
 
