@@ -34,7 +34,8 @@ _TURNS = [np.arange(7)]
 for _ in range(5):
     _TURNS.append(_LEFT[_TURNS[-1]])
 TURNS = np.array(_TURNS)
-_DIGIT = {tuple(s): d for d, s in enumerate(STEPS.tolist())}
+_DIGITS = np.zeros((3, 3), np.int64)  # by step, negative ones from the end
+_DIGITS[STEPS[:, 0], STEPS[:, 1]] = np.arange(7)
 #: Faces from which a pentagon's first digit turns with the clock, by its number.
 CLOCKWISE = {14: (2, 6), 24: (1, 5), 38: (3, 7), 49: (0, 9), 58: (4, 8), 63: (11, 15), 72: (12, 16), 83: (10, 19), 97: (13, 17), 107: (14, 18)}
 
@@ -158,6 +159,12 @@ class _Net:
                     if max(i - low, j - low, -low) <= 2:
                         self._resolve(f, (i, j))
 
+        self.numbers, self.turn_table = np.full((20, 5, 5), -1), np.zeros((20, 5, 5), np.int64)
+        for (f, (a, b)), n in self.number.items():
+            self.numbers[f, a + 2, b + 2] = n
+            self.turn_table[f, a + 2, b + 2] = self.turns.get((f, (a, b)), 0)
+        self.homes = np.array([[f, i, j] for f, (i, j) in self.cells])
+
     def _resolve(self, face: int, at: tuple[int, int]) -> None:
         """Number and turn to the home face of the base cell at a place, also one beyond an edge."""
         g, here, turn = face, at, 0
@@ -228,19 +235,12 @@ def _encode(lat: np.ndarray, lon: np.ndarray, res: int) -> np.ndarray:
     face, x, y = _locate(lat, lon, res)
     i, j = _round(x, y)
     digits = np.zeros((len(lat), res), np.int64)
-    table = np.zeros((3, 3), np.int64)
-    for (a, b), d in _DIGIT.items():
-        table[a, b] = d
     for r in range(res, 0, -1):
         up_i, up_j = _up(i, j, r % 2 == 1)
         down_i, down_j = _down(up_i, up_j, r % 2 == 1)
-        digits[:, r - 1] = table[i - down_i, j - down_j]
+        digits[:, r - 1] = _DIGITS[i - down_i, j - down_j]
         i, j = up_i, up_j
-    numbers, turns = np.full((20, 5, 5), -1), np.zeros((20, 5, 5), np.int64)
-    for (f, (a, b)), n in grid.number.items():
-        numbers[f, a + 2, b + 2] = n
-        turns[f, a + 2, b + 2] = grid.turns.get((f, (a, b)), 0)
-    base, turn = numbers[face, i + 2, j + 2], turns[face, i + 2, j + 2]
+    base, turn = grid.numbers[face, i + 2, j + 2], grid.turn_table[face, i + 2, j + 2]
     pent = grid.pentagon[base]
     hexa = ~pent
     digits[hexa] = TURNS[turn[hexa][:, None], digits[hexa]]
@@ -327,22 +327,13 @@ def centre(cell: int) -> tuple[float, float]:
     return float(np.degrees(lat[0])), float(np.degrees(lon[0]))
 
 
-def centres(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Latitudes and longitudes (degrees) of cells of one resolution; those of pentagons' base cells one by one."""
-    cells = np.asarray(cells, np.uint64)
-    lat, lon = np.zeros(len(cells)), np.zeros(len(cells))
-    if not len(cells):
-        return lat, lon
+def _placed_many(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Face and lattice coordinates of the centres of cells of one resolution whose base cells are hexagons."""
     grid, res = net(), resolution(int(cells[0]))
     base = ((cells >> np.uint64(45)) & np.uint64(127)).astype(np.int64)
-    slow = grid.pentagon[base]
-    for k in np.flatnonzero(slow):
-        lat[k], lon[k] = centre(int(cells[k]))
-    fast = ~slow
-    home = np.array([[f, i, j] for f, (i, j) in grid.cells])[base[fast]]
-    face, i, j = home.T
+    face, i, j = grid.homes[base].T
     for r in range(1, res + 1):
-        d = ((cells[fast] >> np.uint64(3 * (15 - r))) & np.uint64(7)).astype(np.int64)
+        d = ((cells >> np.uint64(3 * (15 - r))) & np.uint64(7)).astype(np.int64)
         i, j = _down(i, j, r % 2 == 1)
         i, j = i + STEPS[d, 0], j + STEPS[d, 1]
     odd, size = res % 2 == 1, 2 * 7 ** ((res + 1) // 2)
@@ -360,12 +351,54 @@ def centres(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             p, q = _up(p, q, False)
         face, i, j = face.copy(), i.copy(), j.copy()
         face[over], i[over], j[over] = grid.neighbour[f, e], p, q
-    x, y = _plane(i.astype(float), j.astype(float))
-    la, lo = _project(face, x, y, res)
-    lat[fast], lon[fast] = np.degrees(la), np.degrees(lo)
+    return face, i, j
+
+
+def _in_pentagons(cells: np.ndarray) -> np.ndarray:
+    return net().pentagon[((cells >> np.uint64(45)) & np.uint64(127)).astype(np.int64)]
+
+
+def centres(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latitudes and longitudes (degrees) of cells of one resolution; those of pentagons' base cells one by one."""
+    cells = np.asarray(cells, np.uint64)
+    lat, lon = np.zeros(len(cells)), np.zeros(len(cells))
+    if not len(cells):
+        return lat, lon
+    slow = _in_pentagons(cells)
+    for k in np.flatnonzero(slow):
+        lat[k], lon[k] = centre(int(cells[k]))
+    if not slow.all():
+        face, i, j = _placed_many(cells[~slow])
+        la, lo = _project(face, *_plane(i.astype(float), j.astype(float)), resolution(int(cells[0])))
+        lat[~slow], lon[~slow] = np.degrees(la), np.degrees(lo)
     return lat, lon
 
 
+def neighbours_of(cells: np.ndarray) -> np.ndarray:
+    """Six columns of neighbours of cells of one resolution (a pentagon's five, one of them twice).
+
+    A neighbour beyond the edge of a face is looked up where the face's plane goes on, which is off its centre by far
+    less than its size; only cells of pentagons' base cells are looked up one by one.
+    """
+    cells = np.asarray(cells, np.uint64)
+    out = np.zeros((len(cells), 6), np.uint64)
+    if not len(cells):
+        return out
+    slow = _in_pentagons(cells)
+    for k in np.flatnonzero(slow):
+        near = neighbours(int(cells[k]))
+        out[k] = (list(near) + [near[-1]] * 6)[:6]
+    if not slow.all():
+        res = resolution(int(cells[0]))
+        face, i, j = _placed_many(cells[~slow])
+        found = []
+        for di, dj in STEPS[1:]:
+            lat, lon = _project(face, *_plane((i + di).astype(float), (j + dj).astype(float)), res)
+            found.append(_encode(lat, lon, res))
+        out[~slow] = np.stack(found, 1)
+    return out
+
+
 def _inside(x: float, y: float, res: int) -> tuple[int, np.ndarray]:
     """Edge of the triangle that a plane point lies beyond (-1: none), and its distances over the three edges."""
     angle = TURN if res % 2 else 0.0
@@ -461,10 +494,28 @@ def ring(cell: int, k: int) -> set[int]:
     """Cells at most ``k`` steps away, this one included."""
     seen, front = {cell}, [cell]
     for _ in range(k):
-        front = [n for c in front for n in neighbours(c) if n not in seen and not seen.add(n)]
+        found = set(neighbours_of(np.array(front, np.uint64)).ravel().tolist())
+        front = list(found - seen)
+        seen |= found
     return seen
 
 
+def rings_of(cells: np.ndarray, k: int) -> list[set[int]]:
+    """``ring`` of many cells of one resolution at once."""
+    found = [{c} for c in cells.tolist()]
+    owner, front = np.arange(len(cells)), np.asarray(cells, np.uint64)
+    for _ in range(k):
+        if not len(front):
+            break
+        near = neighbours_of(front)
+        pairs = set(zip(np.repeat(owner, 6).tolist(), near.ravel().tolist()))
+        fresh = [(o, c) for o, c in pairs if c not in found[o]]
+        for o, c in fresh:
+            found[o].add(c)
+        owner, front = np.array([o for o, _ in fresh], np.int64), np.array([c for _, c in fresh], np.uint64)
+    return found
+
+
 def edge_m(res: int) -> float:
     """Mean length of a cell's edge in metres, from the mean area of a hexagon."""
     area = 4 * np.pi * EARTH_M**2 / (2 + 120 * 7**res)

@@ -59,15 +59,18 @@ def cell_polygons(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
 
 
 def _contains(rings: list[np.ndarray], lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    """Even-odd rule over all rings, planar."""
-    inside = np.zeros(len(lat), bool)
-    for ring in rings:
-        a, b = ring, np.roll(ring, -1, 0)
-        for (ax, ay), (bx, by) in zip(a, b):
-            if ay != by:
-                crosses = (ay > lat) != (by > lat)
-                inside ^= crosses & (ax + (lat - ay) * (bx - ax) / (by - ay) > lon)
-    return inside
+    """Even-odd rule over all rings, planar; points meet edges in blocks."""
+    a = np.concatenate(rings)
+    b = np.concatenate([np.roll(r, -1, 0) for r in rings])
+    slanted = a[:, 1] != b[:, 1]
+    (ax, ay), (bx, by) = a[slanted].T, b[slanted].T
+    slope = (bx - ax) / (by - ay)
+    out = np.zeros(len(lat), bool)
+    for at in range(0, len(lat), block := max(1, 500_000 // max(1, len(ax)))):
+        y, x = lat[at : at + block, None], lon[at : at + block, None]
+        crosses = ((ay > y) != (by > y)) & (ax + (y - ay) * slope > x)
+        out[at : at + block] = crosses.sum(1) % 2 == 1
+    return out
 
 
 def _fill(rings: list[np.ndarray], level: int, box: tuple[float, float, float, float]) -> np.ndarray:
@@ -98,7 +101,9 @@ def _tiles(polygons: DataFrame, level: int) -> DataFrame:
     bound = lambda f, axis: f(F.transform(shell, lambda p: p[axis]))
     number = lambda f, axis: F.floor(bound(f, axis) / size)
     tiled = polygons.withColumn("_tx", F.explode(F.sequence(number(F.array_min, "lon"), number(F.array_max, "lon"))))
-    return tiled.withColumn("_ty", F.explode(F.sequence(number(F.array_min, "lat"), number(F.array_max, "lat")))).withColumn("_size", F.lit(size))
+    tiled = tiled.withColumn("_ty", F.explode(F.sequence(number(F.array_min, "lat"), number(F.array_max, "lat")))).withColumn("_size", F.lit(size))
+    # Little data, much work: spread by number, which adaptive execution does not undo.
+    return tiled.repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_tx", "_ty", F.xxhash64(F.col("rings")))
 
 
 def _box(tx: int, ty: int, size: float) -> tuple[float, float, float, float]:
@@ -113,12 +118,15 @@ def uniform_coverage(df: DataFrame, kind: Kind, level: int = 9) -> DataFrame:
 
         @F.pandas_udf("array<string>")
         def around(lat: pd.Series, lon: pd.Series, radius: pd.Series) -> pd.Series:
-            edge = hexgrid.edge_m(level)
-            out = []
-            for cell, r in zip(hexgrid.encode(lat.to_numpy(float), lon.to_numpy(float), level).tolist(), radius):
-                near = {cell} if pd.isna(r) else hexgrid.ring(cell, max(1, int(r // edge)))
-                out.append([format(c, "x") for c in sorted(near)])
-            return pd.Series(out)
+            cells = hexgrid.encode(lat.to_numpy(float), lon.to_numpy(float), level)
+            r = radius.to_numpy(float, na_value=np.nan)
+            steps = np.where(np.isnan(r), 0, np.maximum(1, np.nan_to_num(r) // hexgrid.edge_m(level))).astype(int)
+            out = pd.Series([[]] * len(cells))
+            for k in np.unique(steps):
+                rows = np.flatnonzero((steps == k) & (cells > 0))
+                for row, near in zip(rows, hexgrid.rings_of(cells[rows], int(k))):
+                    out[row] = [format(c, "x") for c in sorted(near)]
+            return out
 
         cells = keyed.withColumn("_cells", around("lat", "lon", "radius")).select("_p", F.explode("_cells").alias("_hash"))
     else:
@@ -138,11 +146,14 @@ class _Compact:
     def __init__(self, rings: list[np.ndarray]):
         self.rings, self.known = rings, {}
 
-    def whole(self, cell: int) -> bool:
-        if cell not in self.known:
-            near = np.array([cell, *hexgrid.neighbours(cell)], np.uint64)
-            self.known[cell] = bool(_contains(self.rings, *hexgrid.centres(near)).all())
-        return self.known[cell]
+    def whole(self, cells: np.ndarray) -> np.ndarray:
+        """Which of the cells, all of one level, are kept whole as far as the polygon goes."""
+        new = np.array([c for c in np.unique(cells).tolist() if c not in self.known], np.uint64)
+        if len(new):
+            near = np.concatenate([new[:, None], hexgrid.neighbours_of(new)], 1)
+            inside = _contains(self.rings, *hexgrid.centres(near.ravel())).reshape(near.shape).all(1)
+            self.known.update(zip(new.tolist(), inside.tolist()))
+        return np.array([self.known[c] for c in cells.tolist()], bool)
 
     def cells(self, low: int, high: int, box: tuple[float, float, float, float]) -> Iterator[tuple[int, int]]:
         """(cell, level) with centres in the box; the last level also covers the rim, one ring beyond."""
@@ -151,15 +162,10 @@ class _Compact:
             lat, lon = hexgrid.centres(found)
             free = np.ones(len(found), bool)
             for coarse in range(low, level):
-                parents = hexgrid.encode(lat, lon, coarse)
-                covered = {int(p) for p in np.unique(parents) if self.whole(int(p))}
-                free &= ~np.isin(parents, np.array(list(covered), np.uint64))
-            rest = found[free].tolist()
-            if level < high:
-                yield from ((c, level) for c in rest if self.whole(c))
-            else:
-                rim = {n for c in rest for n in (c, *hexgrid.neighbours(c))}
-                yield from ((c, level) for c in sorted(rim))
+                free &= ~self.whole(hexgrid.encode(lat, lon, coarse))
+            rest = found[free]
+            kept = rest[self.whole(rest)] if level < high else np.unique(np.concatenate([rest, hexgrid.neighbours_of(rest).ravel()]))
+            yield from ((c, level) for c in kept.tolist())
 
 
 def compact_coverage(polygons: DataFrame, low: int = 1, high: int = 9) -> DataFrame:

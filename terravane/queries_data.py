@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.operators import hotkeys, instants, nearby, rejects, trips
+from terravane.queries_geo import NEAR_AND_ZONES
 from terravane.session import table
 
 TEST_DATA = [
@@ -153,7 +154,7 @@ _SCORES = """, scores AS (SELECT _group, _value, sum(mult) AS score FROM once JO
 
 ORACLES = {
     "p1_found": _reasons("test_data", TEST_DATA) + " UNION ALL " + _reasons("foo", FOO),
-    "p2_found": None,
+    "p2_found": NEAR_AND_ZONES,
     "p4_found": f"{_P4}{_SCORES} SELECT _group, _value AS _value_1 FROM ranked WHERE place = 1",
     "p4_top3": f"""{_P4}{_SCORES} SELECT _group, {', '.join(
         f"max(CASE WHEN place = {i} THEN score END) AS _score_{i}, max(CASE WHEN place = {i} THEN _value END) AS _value_{i}" for i in (1, 2, 3))}
@@ -164,4 +165,3 @@ ORACLES = {
     "p4_modes": f"""{_P4}, counts AS (SELECT _group, _value, count(*) AS n FROM once WHERE _value IS NOT NULL GROUP BY ALL)
         SELECT _group, _value AS _mode, n AS _n FROM (SELECT *, row_number() OVER (PARTITION BY _group ORDER BY n DESC, encode(_value)) AS place FROM counts) WHERE place = 1""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

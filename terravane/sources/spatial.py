@@ -268,22 +268,25 @@ def road_polygons(lines: DataFrame, name: str, kind: str, width: str, multiplier
     legs = roads.select("props", "r", F.posexplode("line").alias("i", "b"), "line")
     legs = legs.select("props", "r", F.col("b")[1].alias("lat"), F.col("b")[0].alias("lon"), F.when(F.col("i") > 0, F.get("line", F.col("i") - 1)).alias("a"))
 
+    legs = legs.select("props", "r", "lat", "lon", F.col("a")[1].alias("plat"), F.col("a")[0].alias("plon"))
+
     @F.pandas_udf(f"array<{RINGS}>")
-    def outlines(r: pd.Series, lat: pd.Series, lon: pd.Series, before: pd.Series) -> pd.Series:
-        out = []
-        for size, y, x, prev in zip(r, lat, lon, before):
-            cy, cx, _ = geodesic.direct(y, x, np.arange(-180.0, 180.0, 30.0), size)
-            shapes = [[_ring(np.append(cy, cy[0]), np.append(cx, cx[0]))]]
-            if prev is not None:
-                py, px = float(prev[1]), float(prev[0])
-                azimuth = float(geodesic.inverse(py, px, y, x)[2])
-                sides = np.array([azimuth + 90, azimuth - 90, azimuth - 90, azimuth + 90])
-                sy, sx, _ = geodesic.direct(np.array([y, y, py, py]), np.array([x, x, px, px]), sides, size)
-                shapes.append([_ring(np.append(sy, sy[0]), np.append(sx, sx[0]))])
-            out.append(shapes)
+    def outlines(r: pd.Series, lat: pd.Series, lon: pd.Series, plat: pd.Series, plon: pd.Series) -> pd.Series:
+        r, lat, lon, plat, plon = (s.to_numpy(float, na_value=np.nan) for s in (r, lat, lon, plat, plon))
+        turns = np.append(np.arange(-180.0, 180.0, 30.0), -180.0)
+        cy, cx, _ = geodesic.direct(lat[:, None], lon[:, None], turns[None, :], r[:, None])
+        legs_at = np.flatnonzero(~np.isnan(plat))
+        azimuth = geodesic.inverse(plat[legs_at], plon[legs_at], lat[legs_at], lon[legs_at])[2]
+        sides = azimuth[:, None] + np.array([90.0, -90.0, -90.0, 90.0, 90.0])
+        ends = np.array([True, True, False, False, True])
+        from_lat, from_lon = (np.where(ends, a[legs_at][:, None], b[legs_at][:, None]) for a, b in ((lat, plat), (lon, plon)))
+        sy, sx, _ = geodesic.direct(from_lat, from_lon, sides, r[legs_at][:, None])
+        out = [[[_ring(y, x)]] for y, x in zip(cy, cx)]
+        for row, y, x in zip(legs_at, sy, sx):
+            out[row].append([_ring(y, x)])
         return pd.Series(out)
 
-    shaped = legs.withColumn("_shapes", outlines("r", "lat", "lon", "a")).select("props", F.explode("_shapes").alias("rings"))
+    shaped = legs.withColumn("_shapes", outlines("r", "lat", "lon", "plat", "plon")).select("props", F.explode("_shapes").alias("rings"))
     return with_centres(shaped)
 
 
