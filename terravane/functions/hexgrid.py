@@ -328,63 +328,76 @@ def centre(cell: int) -> tuple[float, float]:
 
 
 def _placed_many(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Face and lattice coordinates of the centres of cells of one resolution whose base cells are hexagons."""
+    """Face and lattice coordinates of the centres of cells of one resolution."""
     grid, res = net(), resolution(int(cells[0]))
     base = ((cells >> np.uint64(45)) & np.uint64(127)).astype(np.int64)
-    face, i, j = grid.homes[base].T
+    digits = np.stack([((cells >> np.uint64(3 * (15 - r))) & np.uint64(7)).astype(np.int64) for r in range(1, res + 1)], 1) if res else np.zeros((len(cells), 0), np.int64)
+    pent = grid.pentagon[base]
+    first = _leading(digits)
+    digits = np.where((pent & (first == 5))[:, None], TURNS[5][digits], digits)
+    past_gap = pent & (first == 4)
+    face, i, j = grid.homes[base].T.copy()
     for r in range(1, res + 1):
-        d = ((cells >> np.uint64(3 * (15 - r))) & np.uint64(7)).astype(np.int64)
         i, j = _down(i, j, r % 2 == 1)
-        i, j = i + STEPS[d, 0], j + STEPS[d, 1]
+        i, j = i + STEPS[digits[:, r - 1], 0], j + STEPS[digits[:, r - 1], 1]
     odd, size = res % 2 == 1, 2 * 7 ** ((res + 1) // 2)
     a, b = _down(i, j, False) if odd else (i, j)
-    edge = _beyond(a, b, size)
-    over = np.flatnonzero(edge >= 0)
-    if len(over):
-        f, e = face[over], edge[over]
-        p, q = a[over], b[over]
+    moved = np.zeros(len(cells), bool)
+    for turn in range(4):
+        edge = _beyond(a, b, size)
+        over = np.flatnonzero((edge >= 0) & (pent if turn else True))
+        if not len(over):
+            break
+        f, e, p, q = face[over], edge[over], a[over], b[over]
+        gap = past_gap[over] & (e == 2)
+        # Five sixths of a turn around the pentagon's centre, past the sector that it lacks.
+        p, q = np.where(gap, q + size, p), np.where(gap, q - (p - size), q)
         for n in range(1, 6):
-            turn = grid.turn[f, e] >= n
-            p, q = np.where(turn, p - q, p), np.where(turn, p, q)
-        p, q = p + grid.shift[f, e, 0] * (size // 2), q + grid.shift[f, e, 1] * (size // 2)
-        if odd:
-            p, q = _up(p, q, False)
-        face, i, j = face.copy(), i.copy(), j.copy()
-        face[over], i[over], j[over] = grid.neighbour[f, e], p, q
-    return face, i, j
-
-
-def _in_pentagons(cells: np.ndarray) -> np.ndarray:
-    return net().pentagon[((cells >> np.uint64(45)) & np.uint64(127)).astype(np.int64)]
+            more = grid.turn[f, e] >= n
+            p, q = np.where(more, p - q, p), np.where(more, p, q)
+        a[over], b[over] = p + grid.shift[f, e, 0] * (size // 2), q + grid.shift[f, e, 1] * (size // 2)
+        face[over] = grid.neighbour[f, e]
+        past_gap[over] = False
+        moved[over] = True
+    if odd:
+        up_i, up_j = _up(a, b, False)
+        a, b = np.where(moved, up_i, i), np.where(moved, up_j, j)
+    return face, a, b
 
 
 def centres(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Latitudes and longitudes (degrees) of cells of one resolution; those of pentagons' base cells one by one."""
+    """Latitudes and longitudes (degrees) of cells of one resolution."""
     cells = np.asarray(cells, np.uint64)
-    lat, lon = np.zeros(len(cells)), np.zeros(len(cells))
     if not len(cells):
-        return lat, lon
-    slow = _in_pentagons(cells)
-    for k in np.flatnonzero(slow):
-        lat[k], lon[k] = centre(int(cells[k]))
-    if not slow.all():
-        face, i, j = _placed_many(cells[~slow])
-        la, lo = _project(face, *_plane(i.astype(float), j.astype(float)), resolution(int(cells[0])))
-        lat[~slow], lon[~slow] = np.degrees(la), np.degrees(lo)
-    return lat, lon
+        return np.zeros(0), np.zeros(0)
+    face, i, j = _placed_many(cells)
+    lat, lon = _project(face, *_plane(i.astype(float), j.astype(float)), resolution(int(cells[0])))
+    return np.degrees(lat), np.degrees(lon)
+
+
+@lru_cache(maxsize=1)
+def _pentagon_vectors() -> np.ndarray:
+    return np.array([_vector(*(np.radians(v) for v in centre(int(_pack(np.array([n]), np.zeros((1, 0), np.int64), 0)[0])))) for n in np.flatnonzero(net().pentagon)])
+
+
+def _near_pentagons(cells: np.ndarray) -> np.ndarray:
+    """Cells within some steps of a pentagon, where lattices do not go on as planes."""
+    lat, lon = (np.radians(v) for v in centres(cells))
+    reach = np.cos(min(np.pi, 6 * edge_m(resolution(int(cells[0]))) / EARTH_M))
+    return (_vector(lat, lon) @ _pentagon_vectors().T).max(1) > reach
 
 
 def neighbours_of(cells: np.ndarray) -> np.ndarray:
     """Six columns of neighbours of cells of one resolution (a pentagon's five, one of them twice).
 
     A neighbour beyond the edge of a face is looked up where the face's plane goes on, which is off its centre by far
-    less than its size; only cells of pentagons' base cells are looked up one by one.
+    less than its size; only cells close to pentagons are looked up one by one.
     """
     cells = np.asarray(cells, np.uint64)
     out = np.zeros((len(cells), 6), np.uint64)
     if not len(cells):
         return out
-    slow = _in_pentagons(cells)
+    slow = _near_pentagons(cells)
     for k in np.flatnonzero(slow):
         near = neighbours(int(cells[k]))
         out[k] = (list(near) + [near[-1]] * 6)[:6]

@@ -81,12 +81,13 @@ def _fill(rings: list[np.ndarray], level: int, box: tuple[float, float, float, f
     w, s, e, n = max(w, west), max(s, south), min(e, east), min(n, north)
     if w > e or s > n:
         return np.zeros(0, np.uint64)
-    step = 0.45 * hexgrid.edge_m(level) / DEGREE_M
-    shrink = max(np.cos(np.radians(min(89.9, max(abs(s), abs(n))))), 1e-3)
+    step = 0.7 * hexgrid.edge_m(level) / DEGREE_M
     ys = np.clip(np.arange(s - step, n + 2 * step, step), -90, 90)
-    xs = np.arange(w - step / shrink, e + 2 * step / shrink, step / shrink)
-    grid_y, grid_x = np.meshgrid(ys, xs)
-    cells = np.unique(hexgrid.encode(grid_y.ravel(), grid_x.ravel(), level))
+    # Each row of samples has the spacing of its latitude.
+    apart = step / np.maximum(np.cos(np.radians(ys)), step / 360)
+    counts = np.ceil((e - w) / apart).astype(int) + 3
+    k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    cells = np.unique(hexgrid.encode(np.repeat(ys, counts), w + (k - 1) * np.repeat(apart, counts), level))
     lat, lon = hexgrid.centres(cells)
     keep = (lon >= west) & (lon < east) & (lat >= south) & (lat < north)
     cells, lat, lon = cells[keep], lat[keep], lon[keep]
