@@ -181,7 +181,7 @@ def _history(counts: pd.DataFrame, penalty: float, delay_us: int) -> pd.DataFram
         offsets = np.zeros(1, np.int64)
     # ingestion minus instant, were the offset right; _lag is ingestion minus wall clock in whole quarters, rounded down
     waits = late[:, None] + offsets[None, :]
-    wrong = ((waits < -QUARTER + 1) | (waits > delay_us)) * 1.0 + np.clip(waits, 0, None) / (1e3 * max(delay_us, 1))
+    wrong = ((waits < 0) | (waits > delay_us)) * 1.0 + np.clip(waits, 0, delay_us) / (20.0 * max(delay_us, 1))
     cost = np.zeros((len(days), len(offsets)))
     np.add.at(cost, at, wrong * n[:, None])
     back = np.zeros(cost.shape, np.int64)
@@ -198,10 +198,11 @@ def _history(counts: pd.DataFrame, penalty: float, delay_us: int) -> pd.DataFram
     return pd.DataFrame({"_day": days, "_offset_us": offsets[path]})
 
 
-def offset_histories(df: DataFrame, device: str, wall: str, ingested: str, penalty: float = 3.0, delay_us: int = 2 * 3600 * SECOND) -> DataFrame:
+def offset_histories(df: DataFrame, device: str, wall: str, ingested: str, penalty: float = 3.0, delay_us: int = 20 * 60 * SECOND) -> DataFrame:
     """``device, _day, _offset_us``: the offset of each device's local clock by day of ingestion.
 
-    ``wall`` is the local clock in microseconds as if UTC, ``ingested`` a timestamp. What reaches a task is one row for
+    ``wall`` is the local clock in microseconds as if UTC, ``ingested`` a timestamp; ``delay_us`` must be shorter than the
+    changes of offset to be told apart. What reaches a task is one row for
     each device, day and quarter hour of lag, so a device with a third of all records is no larger than others.
     Rows with a null in one of the columns do not count; lags beyond a day do not either (no zone explains them).
     """

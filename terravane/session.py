@@ -51,3 +51,12 @@ def fresh(columns: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, shuffled over all cores if it comes in far fewer partitions; larger inputs stay as they are.
+
+    For stages that compute much per row: a small table is often one file and would occupy one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
