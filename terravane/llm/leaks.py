@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm.markup import letters_only, readable
+from terravane.session import spread
 
 #: Characters of items that one broadcast may hold; larger sets are scanned in blocks.
 BLOCK_CHARS = 16_000_000
@@ -131,7 +132,7 @@ def leaked_items(
     clean = items.select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.col(f"`{item_text}`").alias("t")).dropna()
     chars = clean.select(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    rows = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("d"), F.col(f"`{text}`").alias("t")).dropna()
+    rows = spread(documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("d"), F.col(f"`{text}`").alias("t")).dropna())
     context = documents.sparkSession.sparkContext
     out = None
     for block in range(blocks):

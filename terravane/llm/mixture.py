@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terravane.session import spread
+
 #: Fixed value: the split pattern that belongs to the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -42,7 +44,7 @@ def count_tokens(documents: DataFrame, keep: list[str], text: str, vocabulary: s
             batch["_tokens"] = np.array(sizes, np.int64)
             yield batch
 
-    source = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    source = spread(documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")))
     schema = ", ".join(f"`{n}` {t}" for n, t in source.drop("_text").dtypes)
     return source.mapInPandas(run, f"{schema}, _tokens bigint" if keep else "_tokens bigint")
 
