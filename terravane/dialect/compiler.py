@@ -23,6 +23,7 @@ NUMBER, TEXT, TRUTH, NOTHING = "number", "text", "truth", "nothing"
 class Typed:
     column: Column
     kind: str
+    nan: bool = True  # whether its number may be NaN, which no comparison holds for
 
     def number(self) -> Column:
         if self.kind == NUMBER:
@@ -73,7 +74,7 @@ class Compiler:
     def value(self, node: object) -> Typed:
         if isinstance(node, Literal):
             kinds = {float: NUMBER, str: TEXT, bool: TRUTH, type(None): NOTHING}
-            return Typed(F.lit(node.value), kinds[type(node.value)])
+            return Typed(F.lit(node.value), kinds[type(node.value)], nan=False)
         if isinstance(node, Name):
             return self.resolve(node)
         if isinstance(node, Unary):
@@ -88,9 +89,10 @@ class Compiler:
             column = self.value(node.arg).column
             return Typed(column.isNotNull() if node.negated else column.isNull(), TRUTH)
         if isinstance(node, Between):
-            number = self.value(node.arg).number()
-            inside = number.between(node.low, node.high)
-            return Typed(F.coalesce(~inside if node.negated else inside, F.lit(False)), TRUTH)
+            arg = self.value(node.arg)
+            number = arg.number()
+            within = (number < node.low) | _ordered(number > node.high, arg) if node.negated else number.between(node.low, node.high)
+            return Typed(F.coalesce(within, F.lit(False)), TRUTH)
         if isinstance(node, InList):
             arg = self.value(node.arg)
             if isinstance(node.values[0], str):
@@ -124,6 +126,8 @@ class Compiler:
         if op in ("=", "==", "!=", "<>"):
             if NUMBER in (a.kind, b.kind):
                 equal = a.number() == b.number()
+                if a.nan and b.nan:
+                    equal = equal & ~F.isnan(a.number())
             elif TRUTH in (a.kind, b.kind):
                 equal = a.truth() == b.truth()
             else:
@@ -131,7 +135,7 @@ class Compiler:
             return Typed(~equal if op in ("!=", "<>") else equal, TRUTH)
         if op in (">", ">=", "<", "<="):
             x, y = a.number(), b.number()
-            return Typed({">": x > y, ">=": x >= y, "<": x < y, "<=": x <= y}[op], TRUTH)
+            return Typed(_ordered({">": x > y, ">=": x >= y, "<": x < y, "<=": x <= y}[op], a if op in (">", ">=") else b), TRUTH)
         if op == "||":
             return Typed(F.concat(a.text(), b.text()), TEXT)
         if op in ("|", "#", "&", "<<", ">>"):
@@ -147,6 +151,11 @@ class Compiler:
         return {"|": a.bitwiseOR, "#": a.bitwiseXOR, "&": a.bitwiseAND}[op](b)
 
 
+def _ordered(comparison: Column, greater: Typed) -> Column:
+    """Spark sorts NaN above all numbers; here it is above none."""
+    return comparison & ~F.isnan(greater.number()) if greater.nan else comparison
+
+
 def _arithmetic(op: str, a: Column, b: Column) -> Column:
     """Arithmetic of doubles; division by zero gives infinities and NaN instead of null or an error."""
     if op == "+":

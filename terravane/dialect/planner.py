@@ -108,7 +108,7 @@ class _Plan:
         place = self.found.get((name.source, name.name)) or self.found.get((None, f"{name.source}.{name.name}"))
         if place is None:
             return Typed(F.lit(None).cast("string"), NOTHING)
-        return Typed(F.col(f"`{place[0]}`"), kind_of(place[1]))
+        return Typed(F.col(f"`{place[0]}`"), kind_of(place[1]), nan=place[1] in ("float", "double", "string"))
 
     def _subset(self, node: InQuery, left: Typed) -> tuple[DataFrame, Column]:
         """Distinct non-null members as column ``_m``, and the left value to compare."""
