@@ -72,8 +72,8 @@ def keyed_math(df: DataFrame, function: str, column: str | None = None, const: f
         "POWERMEAN": lambda: F.pow(F.avg(F.pow(x, c)), 1 / c),
         "RMS": lambda: F.sqrt(F.avg(x * x)),
         "AVERAGE": lambda: (F.sum(x) + (const or 0.0)) / F.count(x),
-        "MIN": lambda: F.min(x) if const is None else F.greatest(F.min(x), c),
-        "MAX": lambda: F.max(x) if const is None else F.least(F.max(x), c),
+        "MIN": lambda: F.min(x) if const is None else F.when(F.count(x) > 0, F.greatest(F.min(x), c)),
+        "MAX": lambda: F.max(x) if const is None else F.when(F.count(x) > 0, F.least(F.max(x), c)),
         "MUL": lambda: F.product(x) * (1.0 if const is None else const),
         "EQUALITY": lambda: (F.min(x) == F.max(x)).cast("double"),
     }

@@ -64,12 +64,20 @@ def subtract(minuend: DataFrame, subtrahend: DataFrame, left: list[str] | None =
     return minuend.join(other, same, "left_anti")
 
 
+# Digest algorithms, in upper case without dashes.
+ALGORITHMS = (
+    "MD2", "MD5", "SHA", "SHA1", "SHA224", "SHA256", "SHA384", "SHA512", "SHA512224", "SHA512256", "SHA3224", "SHA3256", "SHA3384", "SHA3512",
+)
+
+
 def _algorithm(name: str) -> str:
-    """``PROVIDER_ALGO``, ``_PROVIDER_ALGO_`` or the algorithm alone, in upper case without dashes."""
+    """The algorithm of ``_PROVIDER_ALGORITHM_``, with or without provider and underscores."""
     bare = name.strip("_").upper()
-    for provider in ("SUN_", "JCE_", "BC_", "COMMON_"):
-        bare = bare.removeprefix(provider)
-    return bare.replace("-", "").replace("_", "").replace("/", "")
+    for part in (bare, bare.partition("_")[2]):
+        plain = part.replace("-", "").replace("_", "").replace("/", "")
+        if plain in ALGORITHMS:
+            return plain
+    raise ValueError(f"no digest algorithm {name}")
 
 
 def digest(text: Column, algorithm: str) -> Column:
@@ -81,8 +89,6 @@ def digest(text: Column, algorithm: str) -> Column:
         return F.upper(built_in[name]())
     other = {f"SHA3{n}": getattr(hashlib, f"sha3_{n}") for n in (224, 256, 384, 512)}
     other |= {"SHA512224": lambda b: hashlib.new("sha512_224", b), "SHA512256": lambda b: hashlib.new("sha512_256", b)}
-    if name != "MD2" and name not in other:
-        raise ValueError(f"no digest algorithm {algorithm}")
 
     @F.pandas_udf("string")
     def slow(s: pd.Series) -> pd.Series:
