@@ -5,9 +5,9 @@ the text, the zone column or an estimated offset history, and converts with the
 expression; the only join is with the JVM's list of region names, which has some 600 rows and is broadcast.
 
 ``offset_histories`` estimates zones for devices whose local clocks have none: local minus ingestion time, rounded to
-quarter hours and counted per device and day, is aligned by dynamic programming over candidate offsets. An offset
-violates a record if the record would have been ingested before it happened or later than the allowed delay; the
-history with the fewest violations, each change of offset costing a penalty, is chosen.
+quarter hours and counted per device and day of the local clock, is aligned by dynamic programming over candidate
+offsets. An offset violates a record if the record would have been ingested before it happened or later than the allowed
+delay; the history with the fewest violations, each change of offset costing a penalty, is chosen.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions.clock import DAY, SECOND, civil_days, in_zone, month_number, offset_micros, wall_micros, zone_names
+from terravane.session import fresh
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 _ZONE = r"\s*(Z|z|[+-]\d{2}(?::?\d{2})?|[A-Za-z]{2,5}|(?:UTC|GMT)[+-]\d{1,2}(?::?\d{2})?)?\s*(?:\[([A-Za-z0-9_+/-]+)\])?"
@@ -86,7 +87,8 @@ def _read(df: DataFrame, text: Column, side: str) -> DataFrame:
 
 
 def _candidates(df: DataFrame, side: str, zones: DataFrame, zone: Column, guess: Column) -> DataFrame:
-    """Adds ``<side>cand``, the instants a text may mean: null if it is no date and time, empty if no instant shows it."""
+    """Adds ``<side>cand``, the instants a text may mean: null if it is no date and time or has neither zone nor ``guess``,
+    empty if no instant shows it."""
     n = lambda name: f"{side}{name}"
     c = lambda name: F.col(n(name))
     given = F.coalesce(c("off"), c("reg"), zone)
@@ -102,7 +104,7 @@ def _candidates(df: DataFrame, side: str, zones: DataFrame, zone: Column, guess:
     df = _add(df, **{n("c1"): shown(c("o1")), n("c2"): F.when(c("o1") != c("o2"), shown(c("o2")))})
     found = (
         F.when(c("epoch").isNotNull(), F.array(c("epoch")))
-        .when(c("wall").isNull(), F.lit(None).cast("array<bigint>"))
+        .when(c("wall").isNull() | (given.isNull() & guess.isNull()), F.lit(None).cast("array<bigint>"))
         .when(c("fixed").isNotNull(), F.array(c("wall") - c("fixed")))
         .otherwise(F.array_compact(F.array(c("c1"), c("c2"))))
     )
@@ -126,7 +128,7 @@ def normalise_instants(
     clock shown twice is settled by the candidate that lies within ``tolerance_us`` of ``epoch`` or else of
     ``converted``, if just one does; one that is never shown, or whose zone is unknown, is undetermined. Otherwise
     ``epoch`` decides (0, -1, null and other lengths are missing), then ``converted``, read in ``converted_zone``
-    unless it has an offset. Nulls in any column count as missing; repeated rows are kept; columns of the input named
+    unless it has an offset; so too for a text without any zone whose ``estimated_offset`` is null. Nulls in any column count as missing; repeated rows are kept; columns of the input named
     ``_utc_us`` or ``_decided_by`` are replaced. Extra columns pass through.
     """
     zones = F.broadcast(zone_names(df.sparkSession))
@@ -169,19 +171,23 @@ def normalise_instants(
 
 
 QUARTER = 900 * SECOND
+#: The offsets that zones have, in quarter hours.
+LEAST, MOST = -12 * 4, 14 * 4
 
 
 def _history(counts: pd.DataFrame, penalty: float, delay_us: int) -> pd.DataFrame:
-    """Offsets by day of one device, by dynamic programming over the candidates that occur."""
+    """Offsets by day of one device, by dynamic programming over the candidates that occur; null if none does."""
     days, at = np.unique(counts["_day"].to_numpy(), return_inverse=True)
     late, n = counts["_lag"].to_numpy(np.int64) * QUARTER, counts["_n"].to_numpy(float)
     offsets = np.unique(np.concatenate([np.unique(-late), np.unique(-late) + QUARTER]))
-    offsets = offsets[(offsets >= -12 * 4 * QUARTER) & (offsets <= 14 * 4 * QUARTER)]
+    offsets = offsets[(offsets >= LEAST * QUARTER) & (offsets <= MOST * QUARTER)]
     if not len(offsets):
-        offsets = np.zeros(1, np.int64)
+        return pd.DataFrame({"_day": days, "_offset_us": pd.array([None] * len(days), dtype="Int64")})
     # ingestion minus instant, were the offset right; _lag is ingestion minus wall clock in whole quarters, rounded down
     waits = late[:, None] + offsets[None, :]
     wrong = ((waits < 0) | (waits > delay_us)) * 1.0 + np.clip(waits, 0, delay_us) / (20.0 * max(delay_us, 1))
+    # what a row costs under every offset decides nothing; days of such rows alone then cost exactly nothing
+    wrong -= wrong.min(axis=1, keepdims=True)
     cost = np.zeros((len(days), len(offsets)))
     np.add.at(cost, at, wrong * n[:, None])
     back = np.zeros(cost.shape, np.int64)
@@ -195,26 +201,33 @@ def _history(counts: pd.DataFrame, penalty: float, delay_us: int) -> pd.DataFram
     for d in range(len(days) - 1, -1, -1):
         path[d] = state
         state = back[d, state]
-    return pd.DataFrame({"_day": days, "_offset_us": offsets[path]})
+    return pd.DataFrame({"_day": days, "_offset_us": pd.array(offsets[path], dtype="Int64")})
+
+
+def _clock_day(wall: str) -> Column:
+    return F.floor(F.col(wall) / F.lit(DAY)).cast("bigint")
 
 
 def offset_histories(df: DataFrame, device: str, wall: str, ingested: str, penalty: float = 3.0, delay_us: int = 20 * 60 * SECOND) -> DataFrame:
-    """``device, _day, _offset_us``: the offset of each device's local clock by day of ingestion.
+    """``device, _day, _offset_us``: the offset of each device's local clock by day of that clock (days since 1970-01-01).
 
     ``wall`` is the local clock in microseconds as if UTC, ``ingested`` a timestamp; ``delay_us`` must be shorter than the
     changes of offset to be told apart. What reaches a task is one row for
     each device, day and quarter hour of lag, so a device with a third of all records is no larger than others.
-    Rows with a null in one of the columns do not count; lags beyond a day do not either (no zone explains them).
+    Rows with a null ``device`` or ``wall`` do not count. A row so late or so far ahead that no offset explains it violates
+    all alike, and one with null ``ingested`` says nothing: their days have the offset of the part of the history they
+    lie in, between two parts that of the later. A device none of whose rows fits an offset has null for all its days.
     """
-    at = F.unix_micros(F.col(ingested).cast("timestamp"))
+    lag = F.floor((F.unix_micros(F.col(ingested).cast("timestamp")) - F.col(wall)) / F.lit(QUARTER)).cast("bigint")
+    # Beyond these bounds a row violates every offset, however far.
+    ahead, behind = F.lit(-MOST - 2), F.lit(-LEAST + 2 - -delay_us // QUARTER)
     counts = (
-        df.filter(F.col(device).isNotNull() & F.col(wall).isNotNull() & F.col(ingested).isNotNull())
+        df.filter(F.col(device).isNotNull() & F.col(wall).isNotNull())
         .select(
             F.col(device).alias("_device"),
-            F.floor(at / F.lit(DAY)).cast("bigint").alias("_day"),
-            F.floor((at - F.col(wall)) / F.lit(QUARTER)).cast("bigint").alias("_lag"),
+            _clock_day(wall).alias("_day"),
+            F.least(F.greatest(F.coalesce(lag, behind), ahead), behind).cast("bigint").alias("_lag"),
         )
-        .filter(F.abs("_lag") <= 96)
         .groupBy("_device", "_day", "_lag")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -235,10 +248,13 @@ def with_zoneless_wall(df: DataFrame, text: str, out: str = "_wall_us") -> DataF
 
 
 def with_estimated_offsets(df: DataFrame, device: str, text: str, ingested: str, out: str = "_estimated_us") -> DataFrame:
-    """Adds ``out``: the offset that the device's history has on the day of ingestion (null where it has none)."""
-    walls = with_zoneless_wall(df, text)
-    history = offset_histories(walls, device, "_wall_us", ingested).select(
+    """Adds ``out``: the offset that the device's history has on the day of the local clock.
+
+    Null where the text has a zone of its own or is no date and time, the device is null or none of its rows fits an offset.
+    """
+    wall = fresh(df.columns, "_wall_us")
+    walls = with_zoneless_wall(df, text, wall)
+    history = offset_histories(walls, device, wall, ingested).select(
         F.col(device).alias("_d"), F.col("_day").alias("_on"), F.col("_offset_us").alias(out)
     )
-    day = F.floor(F.unix_micros(F.col(ingested).cast("timestamp")) / F.lit(DAY)).cast("bigint")
-    return df.join(history, (F.col(device) == F.col("_d")) & (day == F.col("_on")), "left").drop("_d", "_on")
+    return walls.join(history, (F.col(device) == F.col("_d")) & (_clock_day(wall) == F.col("_on")), "left").drop("_d", "_on", wall)

@@ -100,3 +100,28 @@ def test_offsets_estimated_from_ingestion(spark):
     assert right / len(done) > 0.98
     walls = spark.createDataFrame([], "device string, wall long, loaded timestamp")
     assert offset_histories(walls, "device", "wall", "loaded").count() == 0
+
+
+def test_late_rows_have_the_offset_of_their_own_day(spark):
+    """Rows days late or ahead, alone on their day, and rows of unknown ingestion: the offset is that of the clock's day."""
+    rows, start = [], datetime(2021, 1, 1)
+    for day in range(40):  # the clock is at +2 h for twenty days, then at -5 h; nothing came in time on every fourth day
+        shift = timedelta(hours=2 if day < 20 else -5)
+        at = start + timedelta(days=day, hours=12)
+        if day % 4:
+            rows += [("a", (at + shift).isoformat(), at + timedelta(minutes=m), at, day) for m in (3, 5, 8)]
+        else:
+            rows.append(("a", (at + shift).isoformat(), [at + timedelta(days=30), at - timedelta(days=3), None][day // 4 % 3], at, day))
+    rows += [("b", "2021-02-01T12:00:00", datetime(2021, 5, 1), datetime(2021, 2, 1, 12), 100), (None, "2021-02-01T12:00:00", datetime(2021, 2, 1, 12), datetime(2021, 2, 1, 12), 101)]
+    df = spark.createDataFrame(rows, "device string, text string, loaded timestamp_ntz, truth timestamp_ntz, day int")
+    out = with_estimated_offsets(df, "device", "text", "loaded")
+    assert out.columns == [*df.columns, "_estimated_us"]
+    guess = {r["day"]: r["_estimated_us"] for r in out.collect()}
+    hour = 3_600_000_000
+    # between the two parts lies day 20, of which only the later part's offset is told
+    assert guess == {**{d: 2 * hour if d < 20 else -5 * hour for d in range(40)}, 100: None, 101: None}
+    # where no offset is found the number decides
+    more = out.selectExpr("*", "cast(null as string) tz", "unix_seconds(cast(truth as timestamp)) e", "cast(null as string) c", "cast(null as string) d")
+    done = normalise_instants(more, "text", "tz", "e", "c", "d", estimated_offset="_estimated_us").selectExpr("*", "unix_micros(cast(truth as timestamp)) want").collect()
+    assert len(done) == len(rows) and all(r["_utc_us"] == r["want"] for r in done)
+    assert {r["_decided_by"] for r in done if r["day"] >= 100} == {"epoch"} and {r["_decided_by"] for r in done if r["day"] < 100} == {"text"}
