@@ -63,13 +63,27 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return done.filter(F.col("_utc_us").isNotNull()).select("rec_id", F.col("_utc_us").alias("utc_us"))
 
 
+def _clocked(spark: SparkSession, sf: str) -> DataFrame:
+    """Records once, with the clock behind each source_tz (only told apart by its name); those without any share one."""
+    columns = ["rec_id", "_input_date", "source_tz", "_epoch_time", "_output_date", "dest_tz", "loaded_at"]
+    once = hotkeys.deliver_once(table(spark, sf, "timezone_operation").select(*columns), ["rec_id"])
+    return once.withColumn("clock", F.coalesce(F.nullif(F.lower(F.trim("source_tz")), F.lit("")), F.lit("none")))
+
+
 def p3_offset_histories(spark: SparkSession, sf: str) -> DataFrame:
-    """Offsets by day estimated from ingestion alone, for the clocks behind each source_tz (its name is not used)."""
-    once = hotkeys.deliver_once(table(spark, sf, "timezone_operation"), ["rec_id"])
-    walls = instants.with_zoneless_wall(once.withColumn("clock", F.lower(F.trim("source_tz"))), "_input_date")
+    """Offsets by day of the local clock estimated from ingestion alone, for all clocks of zoneless texts."""
+    walls = instants.with_zoneless_wall(_clocked(spark, sf), "_input_date")
     return instants.offset_histories(walls, "clock", "_wall_us", "loaded_at")
 
 
+def p3_estimated_instants(spark: SparkSession, sf: str) -> DataFrame:
+    """Zoneless texts converted with the estimated offsets of their clocks, as if no zone were stated anywhere."""
+    guessed = instants.with_estimated_offsets(_clocked(spark, sf), "clock", "_input_date", "loaded_at")
+    bare = guessed.filter(F.col("_estimated_us").isNotNull()).withColumn("source_tz", F.lit(None).cast("string"))
+    done = instants.normalise_instants(bare, "_input_date", "source_tz", "_epoch_time", "_output_date", "dest_tz", "_estimated_us")
+    return done.select("rec_id", F.col("_utc_us").alias("utc_us"), F.col("_estimated_us").alias("offset_us"))
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "parametric_score_operation").select("row_id", "_group", "_value", "hour")
     return hotkeys.deliver_once(rows, ["row_id"])
@@ -113,7 +127,7 @@ def p5_movements(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_valid_test_data, p1_valid_foo, p2_found, p3_found, p3_offset_histories,
+        p1_found, p1_valid_test_data, p1_valid_foo, p2_found, p3_found, p3_offset_histories, p3_estimated_instants,
         p4_found, p4_top3, p4_percentiles, p4_distinct_values, p4_modes, p5_found, p5_movements,
     )
 }

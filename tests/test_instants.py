@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
+from terravane import queries_data
 from terravane.operators.instants import normalise_instants, offset_histories, with_estimated_offsets
 
 SCHEMA = "k int, text string, tz string, epoch long, conv string, dest string, _utc_us string"
@@ -125,3 +126,21 @@ def test_late_rows_have_the_offset_of_their_own_day(spark):
     done = normalise_instants(more, "text", "tz", "e", "c", "d", estimated_offset="_estimated_us").selectExpr("*", "unix_micros(cast(truth as timestamp)) want").collect()
     assert len(done) == len(rows) and all(r["_utc_us"] == r["want"] for r in done)
     assert {r["_decided_by"] for r in done if r["day"] >= 100} == {"epoch"} and {r["_decided_by"] for r in done if r["day"] < 100} == {"text"}
+
+
+def test_queries_of_clocks_take_all_rows(spark, tmp_path):
+    """Zoneless texts whose source_tz is null or blank have a clock too, and the query converts with its offsets."""
+    rows, at = [], datetime(2021, 1, 1, 12)
+    for day in range(12):
+        for zone, hours in ((None, -3), (" ", -3), ("Asia/Tokyo", 9)):
+            wall = at + timedelta(days=day, hours=hours)
+            rows += [(len(rows) + k, wall.isoformat(), zone, None, None, None, at + timedelta(days=day, minutes=4 + k)) for k in (0, 1)]
+    rows.append((999, "2021-01-01T12:00:00Z", None, None, None, None, at))
+    schema = "rec_id long, _input_date string, source_tz string, _epoch_time long, _output_date string, dest_tz string, loaded_at timestamp_ntz"
+    spark.createDataFrame(rows + rows[:3], schema).write.parquet(f"{tmp_path}/timezone_operation.parquet")
+    found = queries_data.p3_offset_histories(spark, str(tmp_path)).collect()
+    hour = 3_600_000_000
+    assert {(r["clock"], r["_offset_us"] // hour) for r in found} == {("none", -3), ("asia/tokyo", 9)} and len(found) == 24
+    done = queries_data.p3_estimated_instants(spark, str(tmp_path)).collect()
+    truth = {r[0]: utc(2021, 1, 1 + r[0] // 6, 12) for r in rows if r[0] != 999}
+    assert {r["rec_id"]: r["utc_us"] for r in done} == truth and len(done) == len(truth)
