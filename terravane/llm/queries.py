@@ -28,12 +28,6 @@ def _targets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "mix_targets")
 
 
-def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    counted = mixture.count_tokens(table(spark, sf, "documents"), ["source"], "text")
-    supplied = mixture.supply(mixture.length_histogram(counted, "source"), _targets(spark, sf), "source", "weight", "max_repeats")
-    return supplied.filter(~F.col("reachable")).select("source")
-
-
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     """Shares asked and reached by source."""
     counted = mixture.count_tokens(table(spark, sf, "documents"), ["source"], "text")
@@ -42,6 +36,12 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.mixture_report(mixture.plan_mixture(histogram, supplied), supplied)
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources whose share of the planned mixture stays below their budget with all documents repeated as often as may be."""
+    spent = F.col("mixed_tokens") == F.col("tokens") * F.col("max_repeats")
+    return p7_report(spark, sf).filter(spent & (F.col("mixed_tokens") < F.col("budget"))).select("source")
+
+
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """The documents of the mixture and how often each occurs."""
     counted = cut_lineage(mixture.count_tokens(table(spark, sf, "documents"), ["doc_id", "source"], "text"))

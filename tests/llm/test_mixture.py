@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from terravane.llm import mixture
+from terravane.llm import mixture, queries
 
 
 @settings(max_examples=60, deadline=None)
@@ -68,3 +68,18 @@ def test_empty(spark):
     supplied = mixture.supply(histogram, targets, "source", "weight", "max_repeats")
     assert mixture.mixture_report(mixture.plan_mixture(histogram, supplied), supplied).collect()[0]["share"] == 0.0
     assert mixture.supply(histogram, targets.limit(0), "source", "weight", "max_repeats").count() == 0
+
+
+def test_found_comes_from_the_mixture(spark, tmp_path, monkeypatch):
+    """A source short of its budget is one whose planned mixture is, all repeats used; others fill theirs by the knapsack."""
+    docs = [(i, "word " * (5 + i % 7), "a") for i in range(60)] + [(100 + i, "word " * 4, "b") for i in range(3)] + [(200, "x", None), (201, "y", "z")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [("a", 0.6, 1), ("b", 0.3, 2), ("c", 0.1, 5)]
+    spark.createDataFrame(targets, "source string, weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    planned, plan = [], mixture.plan_mixture
+    monkeypatch.setattr(mixture, "plan_mixture", lambda *a, **k: planned.append(1) or plan(*a, **k))
+    assert sorted(r["source"] for r in queries.p7_found(spark, str(tmp_path)).collect()) == ["b", "c"]
+    assert planned
+    # without a plan for b nothing shows that its repeats were used
+    monkeypatch.setattr(mixture, "plan_mixture", lambda *a, **k: plan(*a, **k).filter("_source <> 'b'"))
+    assert [r["source"] for r in queries.p7_found(spark, str(tmp_path)).collect()] == ["c"]
