@@ -105,7 +105,10 @@ def area_covers_evicted(spark: SparkSession, sf: str) -> DataFrame:
     SELECT s.point_id::VARCHAR AS point, p.point_id::VARCHAR AS poi FROM reach s JOIN pois p ON abs(s.y - p.y) <= p.r / 6300000.0
     AND 2 * 6371008.8 * asin(sqrt(least(1, sin((p.y - s.y) / 2) ** 2 + cos(s.y) * cos(p.y) * sin((p.x - s.x) / 2) ** 2))) <= p.r""")
 def proximity_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """No pair lies within 1 % of its limit, so the sphere of the SQL and the ellipsoid agree."""
+    """Points of interest are the places with 500 m and more, a twentieth; proximity_filter_all takes all of them.
+
+    No pair lies within 1 % of its limit, so the sphere of the SQL and the ellipsoid agree.
+    """
     points = _points(spark, sf, 100.0)
     hits, _ = spatial.proximity_filter(points, points.filter("radius >= 500"), "pois")
     return hits.select(F.col("props")["point_id"].alias("point"), F.col("props")["pois.point_id"].alias("poi"))
@@ -113,11 +116,36 @@ def proximity_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def proximity_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest of the points of interest with 500 m and more: were all places such points, each would be its own nearest."""
     points = _points(spark, sf, 100.0)
     hits, _ = spatial.proximity_filter(points, points.filter("radius >= 500"), "pois", once=True)
     return hits.select(F.col("props")["point_id"].alias("point"), F.round(F.col("props")["_distance"].cast("double"), 3).alias("distance"))
 
 
+def _near_all(spark: SparkSession, sf: str) -> DataFrame:
+    reach = F.when((F.col("radius") > 0) & ~F.isnan("radius"), F.col("radius")).otherwise(100.0)
+    points = _points(spark, sf).withColumn("radius", reach)
+    return spatial.proximity_filter(points, points, "pois")[0].select(
+        F.col("props")["point_id"].alias("point"), F.col("props")["pois.point_id"].alias("poi"), F.round(F.col("props")["_distance"].cast("double"), 3).alias("distance")
+    )
+
+
+# Chords of WGS84, as pairs may lie near the smaller of their two limits; at 5 km they are a ten thousandth of a metre short.
+@_query(f"""WITH {_PLACES}, {_REACH}, normals AS (SELECT *, 6378137 / sqrt(1 - 0.0066943799901413165::DOUBLE * sin(y) ** 2) AS n FROM reach),
+    solid AS (SELECT *, n * cos(y) * cos(x) AS u, n * cos(y) * sin(x) AS v, n * (1 - 0.0066943799901413165::DOUBLE) * sin(y) AS w FROM normals)
+    SELECT s.point_id::VARCHAR AS point, p.point_id::VARCHAR AS poi FROM solid s JOIN solid p ON abs(s.y - p.y) <= p.r / 6300000.0
+    AND sqrt((s.u - p.u) ** 2 + (s.v - p.v) ** 2 + (s.w - p.w) ** 2) <= p.r""")
+def proximity_filter_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every place is a point of interest with its own radius, or 100 m if that is missing or not positive; each is near itself."""
+    return _near_all(spark, sf).select("point", "poi")
+
+
+@_query()
+def proximity_distances_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of proximity_filter_all with their distance in metres."""
+    return _near_all(spark, sf)
+
+
 _MESH = """lpad((floor(c1 * 1.5)::BIGINT % 100)::VARCHAR, 2, '0') || lpad(floor(c0 - 100)::BIGINT::VARCHAR, 2, '0')"""
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terravane import queries_geo
 from terravane.functions import geodesic, hexgrid
 from terravane.functions.mesh import japan_mesh
 from terravane.operators import hexagons, spatial
@@ -128,3 +129,14 @@ def test_shapes_and_coverages(spark, lines):
     assert {r["_level"] for r in compact} >= {6} and len({r["_parent"] for r in compact}) == 1
     assert {r["_hash"] for r in hexagons.uniform_coverage(points, Kind.POINT, 9).collect()} and hexagons.uniform_coverage(points, Kind.POINT, 9).count() == 7 + 1
     assert hexagons.cell_polygons(spark.createDataFrame([("85283473fffffff", "x"), ("zz", "y"), (None, "z")], "h string, n string"), "h", ["n"]).count() == 1
+
+
+def test_all_places_are_points_of_interest(spark, tmp_path):
+    """Radii from 20 m up, missing and not positive ones (100 m) included; the pair is near in the direction of the wider reach."""
+    rows = [(1, 10.0, 50.0, 20.0), (2, 10.0, 50.0001, None), (3, 10.0, 50.0005, -5.0), (4, 10.0, 50.003, 900.0), (5, 0.0, 0.0, 900.0), (6, None, 50.0, 900.0)]
+    df = spark.createDataFrame([(*r, "x") for r in [*rows, rows[0]]], "point_id long, c0 double, c1 double, c2 double, category string")
+    df.write.parquet(f"{tmp_path}/points.parquet")
+    found = {(r["point"], r["poi"]): r["distance"] for r in queries_geo.proximity_distances_all(spark, str(tmp_path)).collect()}
+    want = {(str(i), str(i)) for i in range(1, 5)} | {(str(i), "4") for i in range(1, 4)} | {("1", "2"), ("1", "3"), ("2", "1"), ("2", "3"), ("3", "2")}
+    assert set(found) == want and abs(found["2", "1"] - 11.12) < 0.02
+    assert {(r["point"], r["poi"]) for r in queries_geo.proximity_filter_all(spark, str(tmp_path)).collect()} == set(found)
