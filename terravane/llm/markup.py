@@ -7,11 +7,14 @@ import unicodedata
 
 import numpy as np
 
-_BRACED = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
-DEFINITION = re.compile(
-    r"\\(?:(?:re)?newcommand|providecommand|DeclareRobustCommand)\*?\s*(?:\{\s*\\([A-Za-z]+)\s*\}|\\([A-Za-z]+))\s*(?:\[\d\])?(?:\[[^\]]*\])?\s*" + _BRACED
-    + r"|\\[gex]?def\s*\\([A-Za-z]+)[#\d]*\s*" + _BRACED
-)
+_HEAD = re.compile(
+    r"\\(?:(?P<kind>(?:re)?newcommand|providecommand|DeclareRobustCommand)\*?\s*(?:\{\s*\\(?P<n1>[A-Za-z]+)\s*\}|\\(?P<n2>[A-Za-z]+))\s*(?:\[\d\])?(?:\[[^\]]*\])?"
+    r"|[gex]?def\s*\\(?P<n3>[A-Za-z]+)[#\d]*)\s*\{"
+)
+_BRACE = re.compile(r"\\.|[{}]", re.S)
+_PARAMETER = re.compile(r"#+\d")
+#: A macro that would stand for more characters than this (macros that double each other) stands for nothing, as it would stop TeX.
+LONGEST_MACRO = 1_000_000
 # Combining marks of accent commands, and letters that have a command.
 ACCENTS = {
     '"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303", "=": "\u0304", ".": "\u0307",
@@ -34,45 +37,96 @@ _COMMAND = re.compile(
 )
 
 
+def closing_brace(text: str, at: int) -> int:
+    """Where the group that the brace at ``at`` opens ends (past its closing brace); -1 if it is not closed."""
+    depth = 0
+    for m in _BRACE.finditer(text, at):
+        sign = m.group()
+        if sign == "{":
+            depth += 1
+        elif sign == "}":
+            depth -= 1
+            if not depth:
+                return m.end()
+    return -1
+
+
+def definitions(text: str) -> list[tuple[int, int, str, str, bool]]:
+    """Macro definitions in order: bounds, name, body, and whether it only counts if there is none yet.
+
+    Braces may nest in a body to any depth; a definition whose body is not closed is none.
+    """
+    if "\\newcommand" not in text and "def\\" not in text and "def \\" not in text and "\\providecommand" not in text and "\\renewcommand" not in text and "\\DeclareRobust" not in text:
+        return []
+    out, at, dead = [], 0, False
+    for m in _HEAD.finditer(text):
+        if m.start() < at or dead:
+            continue
+        stop = closing_brace(text, m.end() - 1)
+        if stop < 0:  # nor is any brace after it that it would hold
+            dead = True
+            continue
+        out.append((m.start(), stop, m.group("n1") or m.group("n2") or m.group("n3"), text[m.end() : stop - 1], m.group("kind") == "providecommand"))
+        at = stop
+    return out
+
+
 def macros(text: str) -> tuple[str, dict[str, str]]:
     """The text without its definitions, and what each defined command stands for; a later definition replaces one."""
-    if "\\newcommand" not in text and "def\\" not in text and "def \\" not in text and "\\providecommand" not in text and "\\renewcommand" not in text:
-        return text, {}
     found: dict[str, str] = {}
+    pieces, at = [], 0
+    for start, stop, name, body, provided in definitions(text):
+        if not provided or name not in found:
+            found[name] = _PARAMETER.sub("", body)
+        pieces += [text[at:start], " "]
+        at = stop
+    return ("".join(pieces) + text[at:] if pieces else text), found
 
-    def note(m: re.Match) -> str:
-        name = m.group(1) or m.group(2) or m.group(4)
-        if "\\providecommand" not in m.group(0) or name not in found:
-            found[name] = m.group(3) if m.group(3) is not None else m.group(5)
-        return " "
 
-    return DEFINITION.sub(note, text), found
+def readable(text: str) -> str:
+    """The text with macros in place and commands, references, citations and numbers in brackets taken out.
 
-
-def readable(text: str, depth: int = 4) -> str:
-    """The text with macros in place and commands, references, citations and numbers in brackets taken out."""
+    Macros within macros are resolved to the end, each once for the document; one that needs itself stands for nothing
+    there.
+    """
     if "\\" not in text and "[" not in text:
         return text
     text, known = macros(text)
-
-    def plain(source: str, level: int) -> str:
-        def say(m: re.Match) -> str:
-            kind = m.lastgroup
-            if kind == "word":
-                word = m.group("word")
-                body = known.get(word)
-                if body is not None:
-                    return plain(body, level - 1) if "\\" in body and level > 0 else body
-                return LETTERS.get(word, "")
-            if kind in ("l1", "l2"):
-                return m.group(kind) + ACCENTS[m.group("sign")]
-            if kind in ("l3", "l4"):
-                return m.group(kind) + ACCENTS[m.group("hook")]
-            return ""
-
-        return _COMMAND.sub(say, source)
-
-    return plain(text, depth)
+    resolved: dict[str, str] = {}
+
+    def uses(body: str) -> list[str]:
+        return [m.group("word") for m in _COMMAND.finditer(body) if m.lastgroup == "word" and m.group("word") in known] if "\\" in body else []
+
+    def resolve(name: str) -> str:
+        """Depth first with a stack of its own, as chains of macros may be longer than Python's."""
+        path, open_names = [(name, iter(uses(known[name])))], {name}
+        while path:
+            top, rest = path[-1]
+            following = next((w for w in rest if w not in resolved and w not in open_names), None)
+            if following is not None:
+                path.append((following, iter(uses(known[following]))))
+                open_names.add(following)
+                continue
+            said = _COMMAND.sub(lambda m: say(m, ""), known[top]) if "\\" in known[top] else known[top]
+            resolved[top] = said if len(said) <= LONGEST_MACRO else ""
+            path.pop()
+            open_names.discard(top)
+        return resolved[name]
+
+    def say(m: re.Match, cyclic: str | None = None) -> str:
+        kind = m.lastgroup
+        if kind == "word":
+            word = m.group("word")
+            if word in known:
+                return resolved.get(word, cyclic) if word in resolved or cyclic is not None else resolve(word)
+            return LETTERS.get(word, "")
+        if kind in ("l1", "l2"):
+            return m.group(kind) + ACCENTS[m.group("sign")]
+        if kind in ("l3", "l4"):
+            return m.group(kind) + ACCENTS[m.group("hook")]
+        return ""
+
+    return _COMMAND.sub(say, text)
 
 
 _LETTER = np.array([chr(c).isalnum() for c in range(0x10000)])
