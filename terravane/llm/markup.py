@@ -6,12 +6,15 @@ import re
 import unicodedata
 
 import numpy as np
+import regex
 
 _HEAD = re.compile(
     r"\\(?:(?P<kind>(?:re)?newcommand|providecommand|DeclareRobustCommand)\*?\s*(?:\{\s*\\(?P<n1>[A-Za-z]+)\s*\}|\\(?P<n2>[A-Za-z]+))\s*(?:\[\d\])?(?:\[[^\]]*\])?"
     r"|[gex]?def\s*\\(?P<n3>[A-Za-z]+)[#\d]*)\s*\{"
 )
 _BRACE = re.compile(r"\\.|[{}]", re.S)
+#: What is normalised as one: a letter with its marks, a syllable of conjoining letters.
+_CLUSTER = regex.compile(r"\X")
 _PARAMETER = re.compile(r"#+\d")
 #: A macro that would stand for more characters than this (macros that double each other) stands for nothing, as it would stop TeX.
 LONGEST_MACRO = 1_000_000
@@ -83,42 +86,43 @@ def macros(text: str) -> tuple[str, dict[str, str]]:
     return ("".join(pieces) + text[at:] if pieces else text), found
 
 
-def readable(text: str) -> str:
-    """The text with macros in place and commands, references, citations and numbers in brackets taken out.
+class _Sayings:
+    """What commands say where they stand: macros of a document resolved to the end, each once.
 
-    Macros within macros are resolved to the end, each once for the document; one that needs itself stands for nothing
-    there.
+    A macro that needs itself stands for nothing there.
     """
-    if "\\" not in text and "[" not in text:
-        return text
-    text, known = macros(text)
-    resolved: dict[str, str] = {}
 
-    def uses(body: str) -> list[str]:
-        return [m.group("word") for m in _COMMAND.finditer(body) if m.lastgroup == "word" and m.group("word") in known] if "\\" in body else []
+    def __init__(self, known: dict[str, str]):
+        self.known, self.resolved = known, {}
+
+    def _uses(self, body: str) -> list[str]:
+        return [m.group("word") for m in _COMMAND.finditer(body) if m.lastgroup == "word" and m.group("word") in self.known] if "\\" in body else []
 
-    def resolve(name: str) -> str:
+    def _resolve(self, name: str) -> str:
         """Depth first with a stack of its own, as chains of macros may be longer than Python's."""
-        path, open_names = [(name, iter(uses(known[name])))], {name}
+        path, opened = [(name, iter(self._uses(self.known[name])))], {name}
         while path:
             top, rest = path[-1]
-            following = next((w for w in rest if w not in resolved and w not in open_names), None)
+            following = next((w for w in rest if w not in self.resolved and w not in opened), None)
             if following is not None:
-                path.append((following, iter(uses(known[following]))))
-                open_names.add(following)
+                path.append((following, iter(self._uses(self.known[following]))))
+                opened.add(following)
                 continue
-            said = _COMMAND.sub(lambda m: say(m, ""), known[top]) if "\\" in known[top] else known[top]
-            resolved[top] = said if len(said) <= LONGEST_MACRO else ""
+            said = _COMMAND.sub(self._within, self.known[top]) if "\\" in self.known[top] else self.known[top]
+            self.resolved[top] = said if len(said) <= LONGEST_MACRO else ""
             path.pop()
-            open_names.discard(top)
-        return resolved[name]
+            opened.discard(top)
+        return self.resolved[name]
 
-    def say(m: re.Match, cyclic: str | None = None) -> str:
+    def _within(self, m: re.Match) -> str:
+        return self.resolved.get(m.group("word"), "") if m.lastgroup == "word" and m.group("word") in self.known else self(m)
+
+    def __call__(self, m: re.Match) -> str:
         kind = m.lastgroup
         if kind == "word":
             word = m.group("word")
-            if word in known:
-                return resolved.get(word, cyclic) if word in resolved or cyclic is not None else resolve(word)
+            if word in self.known:
+                return self.resolved[word] if word in self.resolved else self._resolve(word)
             return LETTERS.get(word, "")
         if kind in ("l1", "l2"):
             return m.group(kind) + ACCENTS[m.group("sign")]
@@ -126,7 +130,59 @@ def readable(text: str) -> str:
             return m.group(kind) + ACCENTS[m.group("hook")]
         return ""
 
-    return _COMMAND.sub(say, text)
+
+def readable(text: str) -> str:
+    """The text with macros in place and commands, references, citations and numbers in brackets taken out."""
+    if "\\" not in text and "[" not in text:
+        return text
+    text, known = macros(text)
+    return _COMMAND.sub(_Sayings(known), text)
+
+
+def traced_letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of ``letters_only(readable(text))``, and for each the bounds of what it stands for in ``text``.
+
+    Letters of a command's text have the bounds of the command.
+    """
+    pieces: list[tuple[str, int, int]] = []  # text, bounds; -1 for the second bound: letter by letter
+
+    def plain(start: int, stop: int) -> None:
+        at = start
+        for m in _COMMAND.finditer(text, start, stop):
+            pieces.append((text[at : m.start()], at, -1))
+            pieces.append((say(m), m.start(), m.end()))
+            at = m.end()
+        pieces.append((text[at:stop], at, -1))
+
+    found = definitions(text)
+    say = _Sayings(macros(text)[1])
+    at = 0
+    for start, stop, *_ in found:
+        plain(at, start)
+        pieces.append((" ", start, stop))
+        at = stop
+    plain(at, len(text))
+    codes, first, last = [], [], []
+
+    def note(cluster: str, start: int, stop: int) -> None:
+        letters = ([ord(cluster.lower())] if cluster.isalnum() else []) if len(cluster) == 1 and cluster < "\x80" else letters_only(cluster).tolist()
+        codes.extend(letters)
+        first.extend([start] * len(letters))
+        last.extend([stop] * len(letters))
+
+    held, held_from, held_to = "", 0, 0  # a base letter waits for marks that a command may add to it
+    for piece, start, stop in pieces:
+        for m in _CLUSTER.finditer(piece):
+            a, b = (start + m.start(), start + m.end()) if stop < 0 else (start, stop)
+            if held and unicodedata.combining(m.group()[0]):
+                held, held_to = held + m.group(), b
+                continue
+            if held:
+                note(held, held_from, held_to)
+            held, held_from, held_to = m.group(), a, b
+    if held:
+        note(held, held_from, held_to)
+    return np.array(codes, np.uint32), np.array(first, np.int64), np.array(last, np.int64)
 
 
 _LETTER = np.array([chr(c).isalnum() for c in range(0x10000)])

@@ -20,10 +20,16 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    documents = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     return leaks.without_leaks(documents, "doc_id", p6_found(spark, sf))
 
 
+def p6_cut_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, the leaked spans cut out of their texts."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return leaks.without_spans(documents, "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
 def _targets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "mix_targets")
 
@@ -58,6 +64,6 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_sentences(spark, sf).select("doc_id", "sent_end")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_leaks, p6_clean_documents, p7_found, p7_report, p7_mixture, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_leaks, p6_clean_documents, p6_cut_documents, p7_found, p7_report, p7_mixture, p8_found, p8_sentences)}
 #: Reading markup, tokenising and decoding cannot be said in SQL; tests compare with brute force and hand-made cases.
 ORACLES: dict[str, str] = {}
