@@ -35,13 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where neither that setting nor a
-    checkpoint folder exists (tests, notebooks) is a temporary one set.
+    The folder is the session's ``spark.checkpoint.dir``. Only a session on one machine (master ``local...``, as in
+    tests and notebooks) gets a temporary one where none is set; on a cluster, whose machines would each see another
+    disk, that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terravane-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="terravane-"))
     return df.checkpoint(eager=True)
 
 
