@@ -8,10 +8,12 @@ filled by a bounded knapsack over lengths (subset sums). Only then are documents
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +22,6 @@ from terravane.session import spread
 
 #: Fixed value: the split pattern that belongs to the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _LOADED: dict[str, object] = {}
 
 
@@ -34,11 +35,16 @@ def _encoding(path: str):  # noqa: ANN202 - tiktoken is imported where it runs
     return _LOADED[path]
 
 
-def count_tokens(documents: DataFrame, keep: list[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Columns ``keep`` and ``_tokens``, the number of tokens of the whole text (0 for null and empty texts)."""
+def count_tokens(documents: DataFrame, keep: list[str], text: str, vocabulary: str) -> DataFrame:
+    """Columns ``keep`` and ``_tokens``, the number of tokens of the whole text (0 for null and empty texts).
+
+    ``vocabulary`` is a tiktoken file of ranks where the driver runs; executors get it from there.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(vocabulary).encode_ordinary
+        encode = _encoding(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch.pop("_text")]
             batch["_tokens"] = np.array(sizes, np.int64)
@@ -151,7 +157,11 @@ def plan_mixture(histogram: DataFrame, supplied: DataFrame, seed: int = 0) -> Da
 
 
 def mixture_report(plan: DataFrame, supplied: DataFrame) -> DataFrame:
-    """Per target source: weight, budget, tokens reached, ``share`` of the mixture, ``repeats`` per document at most."""
+    """Per target source: weight, budget, tokens reached, ``share`` of the mixture, ``repeats`` per document at most.
+
+    ``residual_tokens`` is what the mixture holds less than the budget: of a reachable source what no choice of the
+    knapsack filled, of another one what its documents lack even if all come as often as they may.
+    """
     reached = plan.groupBy("_source").agg(
         F.sum(F.col("_tokens") * (F.col("_docs") * F.col("_full") + F.col("_extra"))).alias("mixed"),
         F.max(F.col("_full") + (F.col("_extra") > 0).cast("bigint")).alias("repeats"),
@@ -161,7 +171,7 @@ def mixture_report(plan: DataFrame, supplied: DataFrame) -> DataFrame:
     every = F.sum(mixed).over(W.partitionBy(F.lit(0)))
     return rows.select(
         "source", "weight", "max_repeats", "docs", "tokens", F.round("budget", 3).alias("budget"), "reachable",
-        mixed.alias("mixed_tokens"), F.coalesce("repeats", F.lit(0)).alias("repeats"),
+        mixed.alias("mixed_tokens"), F.round(F.col("budget") - mixed, 3).alias("residual_tokens"), F.coalesce("repeats", F.lit(0)).alias("repeats"),
         F.round(F.when(every > 0, mixed / every).otherwise(0.0), 9).alias("share"),
     )
 

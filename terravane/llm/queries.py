@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from terravane.llm import leaks, mixture, sentences
 from terravane.session import cut_lineage, table
 
+#: The public vocabulary that sizes are counted with.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def p6_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Leaked items with the longest run of letters and digits that the document shows of the item."""
@@ -36,7 +39,7 @@ def _targets(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     """Shares asked and reached by source."""
-    counted = mixture.count_tokens(table(spark, sf, "documents"), ["source"], "text")
+    counted = mixture.count_tokens(table(spark, sf, "documents"), ["source"], "text", VOCABULARY)
     histogram = cut_lineage(mixture.length_histogram(counted, "source"))
     supplied = mixture.supply(histogram, _targets(spark, sf), "source", "weight", "max_repeats")
     return mixture.mixture_report(mixture.plan_mixture(histogram, supplied), supplied)
@@ -50,7 +53,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """The documents of the mixture and how often each occurs."""
-    counted = cut_lineage(mixture.count_tokens(table(spark, sf, "documents"), ["doc_id", "source"], "text"))
+    counted = cut_lineage(mixture.count_tokens(table(spark, sf, "documents"), ["doc_id", "source"], "text", VOCABULARY))
     histogram = mixture.length_histogram(counted, "source")
     supplied = mixture.supply(histogram, _targets(spark, sf), "source", "weight", "max_repeats")
     return mixture.select_documents(counted, "doc_id", "source", mixture.plan_mixture(histogram, supplied))

@@ -31,9 +31,9 @@ def test_fill_large():
 
 def test_tokens_of_whole_texts(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "word " * 50_000), (5, "a" * 200_000)], "d long, text string")
-    found = {r["d"]: r["_tokens"] for r in mixture.count_tokens(df, ["d"], "text").collect()}
+    found = {r["d"]: r["_tokens"] for r in mixture.count_tokens(df, ["d"], "text", queries.VOCABULARY).collect()}
     assert found[1] == 2 and found[2] == found[3] == 0 and found[4] >= 50_000 and found[5] > 1000
-    assert mixture.count_tokens(df.limit(0), ["d"], "text").count() == 0
+    assert mixture.count_tokens(df.limit(0), ["d"], "text", queries.VOCABULARY).count() == 0
 
 
 def test_mixture(spark):
@@ -51,7 +51,9 @@ def test_mixture(spark):
     assert {s: r["tokens"] for s, r in report.items()} == tokens
     assert {s for s, r in report.items() if not r["reachable"]} == {"c", "d"}
     assert report["c"]["mixed_tokens"] == 4 * tokens["c"] and report["d"]["mixed_tokens"] == 0
+    assert report["c"]["residual_tokens"] == round(0.2 * total - 4 * tokens["c"], 3)
     for s, w in (("a", 0.3), ("b", 0.4)):
+        assert 0 <= report[s]["residual_tokens"] + 0.5 < 1.5
         assert abs(report[s]["mixed_tokens"] - w * total) <= 1
     chosen = mixture.select_documents(counted, "doc", "src", plan, buckets=8).collect()
     assert len({r["doc_id"] for r in chosen}) == len(chosen)
@@ -83,3 +85,25 @@ def test_found_comes_from_the_mixture(spark, tmp_path, monkeypatch):
     # without a plan for b nothing shows that its repeats were used
     monkeypatch.setattr(mixture, "plan_mixture", lambda *a, **k: plan(*a, **k).filter("_source <> 'b'"))
     assert [r["source"] for r in queries.p7_found(spark, str(tmp_path)).collect()] == ["c"]
+
+
+def test_report_and_mixture_of_the_tables(spark):
+    """Shares, caps and residuals of the whole tables against plain counts."""
+    sf = "/root/testdata/sf0.01"
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").toPandas()
+    targets = spark.read.parquet(f"{sf}/mix_targets.parquet").toPandas().set_index("source")
+    encode = mixture._encoding(queries.VOCABULARY).encode_ordinary
+    documents["n"] = [len(encode(t)) for t in documents["text"]]
+    tokens = documents[documents["source"].isin(targets.index)].groupby("source")["n"].sum()
+    report = queries.p7_report(spark, sf).toPandas().set_index("source")
+    assert set(report.index) == set(targets.index) and abs(report["share"].sum() - 1) < 1e-6
+    for s, r in report.iterrows():
+        held, budget, most = int(tokens.get(s, 0)), float(targets["weight"][s] * tokens.sum()), int(targets["max_repeats"][s])
+        assert r["tokens"] == held and abs(r["budget"] - budget) < 0.01 and r["repeats"] <= most
+        assert r["mixed_tokens"] == held * most if held * most < budget else abs(r["residual_tokens"]) <= 1
+        assert abs(r["residual_tokens"] - (budget - r["mixed_tokens"])) < 0.01
+    chosen = queries.p7_mixture(spark, sf).toPandas()
+    assert chosen["doc_id"].is_unique and (chosen["copies"] <= chosen["source"].map(targets["max_repeats"])).all()
+    sizes = chosen.merge(documents[["doc_id", "n"]], on="doc_id")
+    mixed = (sizes["n"] * sizes["copies"]).groupby(sizes["source"]).sum()
+    assert mixed.to_dict() == {s: n for s, n in report["mixed_tokens"].items() if n}
