@@ -1,25 +1,18 @@
 """Points near other points and the regions that contain them.
 
-Near: points are keyed by cells of latitude strips, cut along the parallel so that a cell is nowhere narrower than the
-reach it serves; the reach decides the level of the grid, so few cells are probed whatever the radius. Regions: polygon
-edges are binned into latitude strips (and the longitude cells their region spans there), joined to the points of the
-strip, and crossings of the ray due east are counted per point and region. Hot cells are salted.
+Near: points go once each into tiles of bounded size, within which a grid that follows the radius finds the pairs (see
+``plans.tiles``). Regions: polygon edges are binned into latitude strips (and the longitude cells their region spans
+there), joined to the points of the strip, and crossings of the ray due east are counted per point and region. Hot cells
+are split on both sides.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.plans.salting import salted_join
-
-EARTH_M = 6_371_008.8
-DEGREE_M = EARTH_M * math.pi / 180
-#: Finest grid level serves reaches up to this many metres; each level up serves four times as much.
-BASE_M, STEP = 64.0, 4.0
-TOP_LEVEL = 9
+from terravane.plans.tiles import EARTH_M, within_reach
 
 
 def usable(lon: Column, lat: Column) -> Column:
@@ -36,33 +29,12 @@ def haversine_m(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) -> C
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def _level(reach: Column) -> Column:
-    return F.greatest(F.lit(0), F.ceil(F.log(reach / BASE_M) / math.log(STEP))).cast("int")
-
-
-def _strip_height(level: Column) -> Column:
-    """Degrees of latitude in a strip: at least the largest reach of the level."""
-    return F.lit(BASE_M / DEGREE_M) * F.pow(F.lit(STEP), level)
-
-
-def _cells_around(strip: Column, level: Column) -> Column:
-    """Cells along the parallel in a strip: as many as keep each at least as wide as the strip is high."""
-    height = _strip_height(level)
-    furthest = F.least(F.greatest(F.abs(strip * height - 90), F.abs((strip + 1) * height - 90)), F.lit(90.0))
-    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(furthest)) / height)).cast("bigint")
-
-
-def _cell(lon: Column, count: Column) -> Column:
-    return F.pmod(F.floor((lon + 180) / 360.0 * count), count)
-
-
 def near_pairs(points: DataFrame, id_col: str, lon: str, lat: str, radius: str, default_m: float = 100.0) -> DataFrame:
     """``id_a < id_b, distance_m``: pairs of different points within the larger of their two radii.
 
     A null, NaN, zero or negative radius counts as ``default_m``. Points with an unusable position or a null id take no
-    part. Each pair comes once, found from the point with the larger radius (of equal ones, the smaller id). Expects one
-    row for each id: points at one place are different points and pair with each other. Works across the date line and
-    around the poles; radii above 2,500 km are taken together on the coarsest level.
+    part. Expects one row for each id: points at one place are different points and pair with each other. Works across
+    the date line and around the poles, for radii of any size.
     """
     given = F.col(f"`{radius}`").cast("double")
     base = points.select(
@@ -71,41 +43,12 @@ def near_pairs(points: DataFrame, id_col: str, lon: str, lat: str, radius: str,
         F.col(f"`{lat}`").cast("double").alias("y"),
         F.when((given > 0) & ~F.isnan(given), given).otherwise(F.lit(float(default_m))).alias("r"),
     ).filter(usable(F.col("x"), F.col("y")) & F.col("id").isNotNull())
-    pairs = within_reach(base.select(F.col("id").alias("i"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("r").alias("sr")), base)
-    first_finds = (F.col("sr") > F.col("r")) | ((F.col("sr") == F.col("r")) & (F.col("i") < F.col("id")))
-    return (
-        pairs.filter(first_finds & (F.col("i") != F.col("id")))
-        .withColumn("distance_m", haversine_m(F.col("sx"), F.col("sy"), F.col("x"), F.col("y")))
-        .filter(F.col("distance_m") <= F.col("sr"))
-        .select(F.least("i", "id").alias("id_a"), F.greatest("i", "id").alias("id_b"), "distance_m")
-    )
-
-
-def within_reach(seekers: DataFrame, held: DataFrame) -> DataFrame:
-    """Candidate pairs of ``seekers`` (sx, sy, reach sr in metres, more) and ``held`` points (x, y, more), each pair once.
-
-    Every pair within the seeker's reach is among them; most others are not. Names of the two sides must differ.
-    """
-    leveled = seekers.withColumn("level", F.least(_level(F.col("sr")), F.lit(TOP_LEVEL)))
-    levels = sorted(row[0] for row in leveled.select("level").distinct().collect())  # ten at most
-    strip = F.floor((F.col("y") + 90) / _strip_height(F.col("level"))).cast("bigint")
-    placed = held.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")))
-    placed = placed.withColumn("strip", strip)
-    placed = placed.withColumn("cell", _cell(F.col("x"), _cells_around(F.col("strip"), F.col("level"))))
-    height = _strip_height(F.col("level"))
-    reach = F.col("sr") / DEGREE_M * 1.01  # degrees of latitude; the margin covers the ellipsoid
-    first = F.greatest(F.lit(0), F.floor((F.col("sy") - reach + 90) / height))
-    last = F.least(F.floor(180.0 / height), F.floor((F.col("sy") + reach + 90) / height))
-    seek = leveled.withColumn("strip", F.explode(F.sequence(first, last)))
-    ratio = F.sin(F.radians(F.least(reach, F.lit(89.0)))) / F.greatest(F.cos(F.radians(F.col("sy"))), F.lit(1e-12))
-    wide = (ratio >= 1.0) | (F.abs("sy") + reach >= 90) | (reach >= 89.0)
-    spread = F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.001
-    seek = seek.withColumn("_n", _cells_around(F.col("strip"), F.col("level"))).withColumn("_spread", F.when(wide, F.lit(180.0)).otherwise(spread))
-    lo = F.floor((F.col("sx") - F.col("_spread") + 180) / 360.0 * F.col("_n"))
-    hi = F.floor((F.col("sx") + F.col("_spread") + 180) / 360.0 * F.col("_n"))
-    seek = seek.withColumn("_c", F.explode(F.sequence(lo, F.least(hi, lo + F.col("_n") - 1))))
-    seek = seek.withColumn("cell", F.pmod("_c", "_n")).drop("_c", "_n", "_spread")
-    return salted_join(seek, placed, ["level", "strip", "cell"]).drop("level", "strip", "cell")
+    found = within_reach(base.select(F.col("id").alias("i"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("r").alias("sr")))
+    # Each pair counts from the point with the larger radius (of equal ones, the smaller id).
+    counts = (F.col("sr") > F.col("r")) | ((F.col("sr") == F.col("r")) & (F.col("i") < F.col("id")))
+    distance = haversine_m(F.col("sx"), F.col("sy"), F.col("x"), F.col("y"))
+    found = found.filter(counts & (F.col("i") != F.col("id"))).withColumn("distance_m", distance).filter(F.col("distance_m") <= F.col("sr"))
+    return found.select(F.least("i", "id").alias("id_a"), F.greatest("i", "id").alias("id_b"), "distance_m")
 
 
 GEOJSON = (

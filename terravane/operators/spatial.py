@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terravane.functions import geodesic
-from terravane.operators.nearby import contained, haversine_m, usable, within_reach
+from terravane.operators.nearby import contained, usable
+from terravane.plans.tiles import within_reach
 from terravane.sources.spatial import flat_rings, split_rings, with_centres
 from terravane.stream import POINT_COLUMNS, POLYGON_COLUMNS, TRACK_COLUMNS
 
@@ -16,10 +17,9 @@ PINNING = ["SEGMENT_CENTROIDS", "TRACK_CENTROIDS", "SEGMENT_STARTS", "TRACK_STAR
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Rows with an id of their content and of their place among equal rows, stable when a lost task is run again."""
-    content = F.xxhash64(*[F.to_json(F.col(c)) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in df.dtypes])
-    columns = [F.to_json(F.col(c)) if t.startswith(("map", "array", "struct")) else F.col(c).cast("string") for c, t in df.dtypes]
-    return df.withColumn(name, F.sha2(F.concat_ws("\0", content.cast("string"), *[F.coalesce(c, F.lit("\1")) for c in columns]), 256))
+    """Rows with an id of their content (equal rows have one id), 16 bytes, stable when a lost task is run again."""
+    sorted_maps = [F.to_json(F.array_sort(F.map_entries(c))) if t.startswith("map") else F.to_json(c) if t.startswith(("array", "struct")) else F.col(c).cast("string") for c, t in df.dtypes]
+    return df.withColumn(name, F.unhex(F.md5(F.to_json(F.array(*sorted_maps)))))
 
 
 def _joined_props(props: Column, other: Column, prefix: str) -> Column:
@@ -60,10 +60,10 @@ def proximity_filter(signals: DataFrame, pois: DataFrame, prefix: str = "pois",
     """
     points = _numbered(signals, "_sid")
     places = _numbered(pois, "_pid").filter(F.col("radius") > 0)
-    seekers = places.select("_pid", F.col("lon").alias("sx"), F.col("lat").alias("sy"), F.col("radius").alias("sr")).filter(usable(F.col("sx"), F.col("sy")))
-    held = points.select("_sid", F.col("lon").alias("x"), F.col("lat").alias("y")).filter(usable(F.col("x"), F.col("y"))).dropDuplicates(["_sid"])
-    near = within_reach(seekers.dropDuplicates(["_pid"]), held)
-    near = near.filter(haversine_m(F.col("sx"), F.col("sy"), F.col("x"), F.col("y")) <= F.col("sr") * 1.01)
+    seekers = places.select(F.col("_pid").alias("i"), F.col("lon").alias("sx"), F.col("lat").alias("sy"), F.col("radius").alias("sr")).filter(usable(F.col("sx"), F.col("sy")))
+    held = points.select(F.col("_sid").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y")).filter(usable(F.col("x"), F.col("y"))).dropDuplicates(["id"])
+    near = within_reach(seekers.dropDuplicates(["i"]), held)
+    near = near.withColumnsRenamed({"i": "_pid", "id": "_sid"})
     near = near.withColumn("_m", geodesic.distance_udf()("sy", "sx", "y", "x")).filter(F.col("_m") <= F.col("sr")).select("_sid", "_pid", "_m")
     nearest = near.groupBy("_sid").agg(F.min("_m").alias("_m"))
     evicted = points.join(nearest, "_sid", "left_anti").drop("_sid")

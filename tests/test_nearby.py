@@ -4,7 +4,10 @@ import json
 import math
 import random
 
+import pytest
+
 from terravane.operators.nearby import containing_zones, near_pairs
+from terravane.plans import salting, tiles
 
 SCHEMA = "id long, lon double, lat double, r double, strip string"
 
@@ -19,7 +22,10 @@ def pairs(spark, rows):
     return {(r["id_a"], r["id_b"]) for r in near_pairs(spark.createDataFrame(rows, SCHEMA), "id", "lon", "lat", "r").collect()}
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("block", [50_000, 40, 7])
+def test_against_brute_force(spark, monkeypatch, block):
+    """Also where tiles are cut and what is left of them is split into blocks on both sides."""
+    monkeypatch.setattr(tiles, "BLOCK", block)
     rng = random.Random(3)
     rows = []
     centres = [(179.9999, -60.0), (-179.9995, -60.0), (10.0, 89.9995), (-170.0, 89.9996), (20.0, -89.999), (0.001, 0.0), (50.0, 45.0)]
@@ -39,6 +45,28 @@ def test_same_place_and_empty(spark):
     assert pairs(spark, []) == set()
 
 
+def test_dense_spot_has_few_candidates(spark, monkeypatch):
+    """The grid follows the radius: of 20,000 points in one spot of 55 m with reach 0.1 m, few candidates are no pairs."""
+    rng = random.Random(4)
+    rows = [(i, 10 + rng.uniform(0, 0.0005), 50 + rng.uniform(0, 0.0005), 0.1, "") for i in range(20_000)]
+    compared = []
+    ranges = tiles._portions
+    monkeypatch.setattr(tiles, "_portions", lambda count: (compared.append(int(count.sum())), ranges(count))[1])
+    blocks = spark.createDataFrame(rows, SCHEMA).toPandas().rename(columns={"lon": "x", "lat": "y"}).assign(key=0, block=0, role=3)
+    found = sum(int(((p["i"] < p["id"]) & (p["i"] != p["id"])).sum()) for p in tiles._pairs(blocks))
+    # Counts of candidates are every second; each point is a candidate of itself, and each pair is met from both sides.
+    candidates = sum(compared[1::2]) - len(rows)
+    assert found > 2000 and candidates < 10 * 2 * found
+
+
+@pytest.mark.parametrize("rows_per_task", [100_000, 5])
+def test_salted_join_of_hot_keys(spark, rows_per_task):
+    left = spark.createDataFrame([(k % 3 if k < 60 else None, k) for k in range(70)], "k int, a int")
+    right = spark.createDataFrame([(0, b) for b in range(40)] + [(1, 100), (7, 101), (None, 102)], "k int, b int")
+    found = sorted(tuple(r) for r in salting.salted_join(left, right, ["k"], rows_per_task).select("k", "a", "b").collect())
+    assert found == sorted((k % 3, k, b) for k in range(60) for b in ([*range(40)] if k % 3 == 0 else [100] if k % 3 == 1 else []))
+
+
 def test_zones(spark):
     square = lambda a, b: [[a, a], [b, a], [b, b], [a, b]]
     shape = lambda kind, c: json.dumps({"type": "Feature", "geometry": {"type": kind, "coordinates": c}})
