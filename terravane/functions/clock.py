@@ -45,7 +45,9 @@ def wall_micros(days: Column, hour: Column, minute: Column, second: Column, micr
 
 def offset_micros(text: Column) -> Column:
     """``+hh``, ``+hhmm``, ``+hh:mm`` (with or without ``UTC``/``GMT`` before) to microseconds, else null."""
-    signed = F.regexp_extract(text, r"^(?:[Uu][Tt][Cc]|[Gg][Mm][Tt])?([+-](?:0\d|1[0-8])(?::?[0-5]\d)?)$", 1)
+    # What does not start like an offset is not matched.
+    like = F.when(F.substring(text, 1, 1).isin("+", "-", "U", "u", "G", "g"), text)
+    signed = F.regexp_extract(like, r"^(?:[Uu][Tt][Cc]|[Gg][Mm][Tt])?([+-](?:0\d|1[0-8])(?::?[0-5]\d)?)$", 1)
     minutes = F.substring(signed, 2, 2).cast("int") * 60 + F.coalesce(F.substring(signed, -2, 2).cast("int") * (F.length(signed) > 3).cast("int"), F.lit(0))
     return F.when(F.length(signed) > 0, minutes.cast("bigint") * F.when(F.substring(signed, 1, 1) == "-", -60 * SECOND).otherwise(60 * SECOND))
 

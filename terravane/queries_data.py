@@ -57,9 +57,13 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["rec_id", "_input_date", "source_tz", "_epoch_time", "_output_date", "dest_tz"]
+    """Instants of all records that determine one. Texts with a zone nowhere, neither their own nor ``source_tz``, are
+    converted by the offset history estimated for their clock from load times; without evidence they are GMT."""
+    columns = ["rec_id", "_input_date", "source_tz", "_epoch_time", "_output_date", "dest_tz", "loaded_at"]
     once = hotkeys.deliver_once(table(spark, sf, "timezone_operation").select(*columns), ["rec_id"])
-    done = instants.normalise_instants(once, "_input_date", "source_tz", "_epoch_time", "_output_date", "dest_tz")
+    bare = F.when(F.coalesce(F.trim("source_tz"), F.lit("")) == "", F.lit("none"))
+    guessed = instants.with_estimated_offsets(once.withColumn("clock", bare), "clock", "_input_date", "loaded_at").fillna({"_estimated_us": 0})
+    done = instants.normalise_instants(guessed, "_input_date", "source_tz", "_epoch_time", "_output_date", "dest_tz", "_estimated_us")
     return done.filter(F.col("_utc_us").isNotNull()).select("rec_id", F.col("_utc_us").alias("utc_us"))
 
 
@@ -71,8 +75,8 @@ def _clocked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_offset_histories(spark: SparkSession, sf: str) -> DataFrame:
-    """Offsets by day of the local clock estimated from ingestion alone, for all clocks of zoneless texts."""
-    walls = instants.with_zoneless_wall(_clocked(spark, sf), "_input_date")
+    """Offsets by hour of the local clock estimated from ingestion alone, for all clocks of zoneless texts."""
+    walls = instants.with_zoneless_wall(_clocked(spark, sf), F.col("_input_date"))
     return instants.offset_histories(walls, "clock", "_wall_us", "loaded_at")
 
 

@@ -144,3 +144,22 @@ def test_queries_of_clocks_take_all_rows(spark, tmp_path):
     done = queries_data.p3_estimated_instants(spark, str(tmp_path)).collect()
     truth = {r[0]: utc(2021, 1, 1 + r[0] // 6, 12) for r in rows if r[0] != 999}
     assert {r["rec_id"]: r["utc_us"] for r in done} == truth and len(done) == len(truth)
+
+
+def test_estimates_of_the_table(spark):
+    """Offsets estimated from load times alone, against the stated zones of the same texts."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r["rec_id"]: r["utc_us"] for r in queries_data.p3_found(spark, sf).collect()}
+    guessed = [(r["utc_us"], truth[r["rec_id"]]) for r in queries_data.p3_estimated_instants(spark, sf).collect() if r["rec_id"] in truth]
+    assert len(guessed) > 2000 and sum(a == b for a, b in guessed) > 0.97 * len(guessed)
+
+
+def test_offset_changes_within_a_day(spark):
+    """The hour tells on which side of a change of clocks a record lies."""
+    rows, start = [], datetime(2021, 3, 27, tzinfo=timezone.utc)
+    for k in range(144):  # every half hour around the change of 2021-03-28 01:00 UTC
+        at = start + timedelta(minutes=30 * k)
+        rows.append(("a", at.astimezone(ZoneInfo("Europe/Berlin")).replace(tzinfo=None).isoformat(), at.replace(tzinfo=None) + timedelta(minutes=3), 1 + (k >= 50)))
+    df = spark.createDataFrame(rows, "device string, text string, loaded timestamp_ntz, hours int")
+    out = with_estimated_offsets(df, "device", "text", "loaded").collect()
+    assert len(out) == 144 and all(r["_estimated_us"] == r["hours"] * 3_600_000_000 for r in out)
