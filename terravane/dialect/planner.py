@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terravane.dialect.compiler import NOTHING, NUMBER, TEXT, Compiler, Typed, conjuncts, kind_of
 from terravane.dialect.parser import DialectError, InQuery, Name, Query, parse
+from terravane.plans.ranks import repeated
 from terravane.stream import KEY, Kind, Stream
 
 _HOW = {"INNER": "inner", "LEFT": "left", "RIGHT": "right", "OUTER": "full"}
@@ -154,7 +155,7 @@ def union_xor(parts: list[DataFrame]) -> DataFrame:
     tagged = _union([p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
     counted = tagged.groupBy(*columns, "_part").agg(F.count(F.lit(1)).alias("_n"))
     single = counted.groupBy(*columns).agg(F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_n")).filter(F.col("_parts") == 1)
-    return single.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i")).select(*columns)
+    return repeated(single.select(*columns, "_n"), "_n")
 
 
 def _limited(df: DataFrame, tree: Query) -> DataFrame:
@@ -190,9 +191,16 @@ def _spatial(tree: Query, streams: dict[str, Stream], inputs: list[str] | None)
 def _properties(source: Stream, shape: str) -> Column:
     """Properties that a predicate sees: those of the object and of what it belongs to, the inner ones first."""
     if source.kind is not Kind.TRACK:
-        return F.col("props")
+        made = {"_center_lat": "lat", "_center_lon": "lon", "_radius": "radius"} if source.kind is Kind.POINT else {"_center_lat": "center_lat", "_center_lon": "center_lon"}
+        return _overlaid(_generated(made), F.col("props"))
     levels = {"SegmentedTrack": ["track_props"], "TrackSegment": ["seg_props", "track_props"], "Point": ["props", "seg_props", "track_props"]}[shape]
-    return reduce(_overlaid, [F.col(c) for c in levels])
+    return reduce(_overlaid, [*([_generated({"_ts": "_ts"})] if shape == "Point" else []), *[F.col(c) for c in levels]])
+
+
+def _generated(columns: dict[str, str]) -> Column:
+    """Properties that every object has of itself, from its own columns; nulls are left out."""
+    full = F.create_map(*[x for name, c in columns.items() for x in (F.lit(name), F.col(c).cast("string"))])
+    return F.map_filter(full, lambda _, v: v.isNotNull())
 
 
 def _overlaid(inner: Column, outer: Column) -> Column:

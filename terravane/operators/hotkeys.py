@@ -7,6 +7,7 @@ distinct pairs, never by the rows of a hot key. Counts, modes, scores and percen
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terravane.plans.ranks import cumulative_counts
@@ -63,16 +64,15 @@ def parametric_score(
 def top_per_key(df: DataFrame, key: str, score: str, value: str, top: int) -> DataFrame:
     """``key, _best``: the ``top`` structs (s = negated score, v = value) per key, best first.
 
-    Pre-selected by a partial minimum for top = 1. For more, each of 64 salts keeps its own best before the final
-    choice, so one task never sees all values of a hot key.
+    A partial minimum for top = 1. For more, the limit on the rank goes below the shuffle: every partition sends on only
+    its own ``top`` rows of a key, however many it has.
     """
     entry = F.struct((-F.col(score)).alias("s"), F.col(value).alias("v"))
     if top == 1:
         return df.groupBy(key).agg(F.array(F.min(entry)).alias("_best"))
-    salted = df.groupBy(key, F.pmod(F.xxhash64(value), F.lit(64)).alias("_salt")).agg(
-        F.slice(F.array_sort(F.collect_list(entry)), 1, top).alias("_some")
-    )
-    return salted.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_some"))), 1, top).alias("_best"))
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc(score), F.asc(value)))
+    best = df.withColumn("_place", place).filter(F.col("_place") <= top)
+    return best.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_best"))
 
 
 def distinct_counts(df: DataFrame, key: str, value: str) -> DataFrame:

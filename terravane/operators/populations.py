@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.operators.hotkeys import value_counts
 from terravane.operators.maths import number
-from terravane.plans.ranks import cumulative_counts
+from terravane.plans.ranks import cumulative_counts, repeated
 from terravane.stream import KEY
 
 
@@ -56,13 +56,13 @@ def percent_rank(df: DataFrame, value: str, by_key: bool = False) -> DataFrame:
     counted = base.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = cumulative_counts(counted, KEY if by_key else None, "_value", "_n")
     rank = F.when(F.col("_total") == 1, F.lit(float("nan"))).otherwise(F.col("_below") / (F.col("_total") - 1))
-    return ranked.select(*keys, "_value", rank.alias("_rank"), F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i")).drop("_i")
+    return repeated(ranked.select(*keys, "_value", rank.alias("_rank"), "_n"), "_n")
 
 
 def percentile_filter(df: DataFrame, column: str, top: int = -1, bottom: int = -1) -> DataFrame:
     """Rows whose value lies between the values at ``floor(n * p / 100)`` in sorted order, for the percentiles given.
 
-    Nulls and text that is no number do not count and are left out.
+    Rows come in the order of their values. Nulls and text that is no number do not count and are left out.
     """
     if top < 0 and bottom < 0 or 0 <= top < bottom:
         raise ValueError("give top, bottom or both, top not below bottom")
@@ -79,7 +79,7 @@ def percentile_filter(df: DataFrame, column: str, top: int = -1, bottom: int = -
         keep = keep & (F.col("_x") <= F.lit(row["t"]))
     if bottom >= 0:
         keep = keep & (F.col("_x") >= F.lit(row["b"]))
-    return base.filter(keep).drop("_x")
+    return base.filter(keep).orderBy("_x").drop("_x")
 
 
 def metrics(df: DataFrame, name: str, column: str | None) -> DataFrame:

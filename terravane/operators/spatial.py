@@ -85,8 +85,8 @@ def track_centroids(tracks: DataFrame, mode: str = "BOTH") -> DataFrame:
     """POINT rows at the mean of the points of segments, of tracks, or of both."""
     nothing = F.lit(None).cast("double").alias("radius")
     mean = [F.avg("lat").alias("lat"), F.avg("lon").alias("lon")]
-    segments = tracks.groupBy("_userid", "seg_ord").agg(*mean, F.any_value("seg_props").alias("props")).select("lat", "lon", nothing, "props")
-    whole = tracks.groupBy("_userid").agg(*mean, F.any_value("track_props").alias("props")).select("lat", "lon", nothing, "props")
+    segments = tracks.groupBy("_userid", "_trk", "seg_ord").agg(*mean, F.any_value("seg_props").alias("props")).select("lat", "lon", nothing, "props")
+    whole = tracks.groupBy("_userid", "_trk").agg(*mean, F.any_value("track_props").alias("props")).select("lat", "lon", nothing, "props")
     return {"SEGMENTS": segments, "TRACKS": whole, "BOTH": segments.unionByName(whole)}[mode.upper()]
 
 
@@ -117,8 +117,8 @@ def track_stats(tracks: DataFrame, pinning: str = "INPUT_PINS", pins: DataFrame
     pinning = pinning.upper()
     if pinning not in PINNING:
         raise ValueError(f"pinning is one of {PINNING}")
-    in_segment = W.partitionBy("_userid", "seg_ord").orderBy("pt_ord")
-    segment, user = W.partitionBy("_userid", "seg_ord"), W.partitionBy("_userid")
+    in_segment = W.partitionBy("_userid", "_trk", "seg_ord").orderBy("pt_ord")
+    segment, user = W.partitionBy("_userid", "_trk", "seg_ord"), W.partitionBy("_userid", "_trk")
     rows = tracks.withColumns({"_plat": F.lag("lat").over(in_segment), "_plon": F.lag("lon").over(in_segment), "_pts": F.lag("_ts").over(in_segment)})
     rows = rows.withColumn("_leg", geodesic.leg_udf()("_plat", "_plon", "lat", "lon"))
     rows = rows.withColumns({"_d": F.coalesce(F.when(F.col("_plat").isNotNull(), F.col("_leg.metres")), F.lit(0.0)), "_t": F.coalesce(F.col("_ts") - F.col("_pts"), F.lit(0.0))})
@@ -158,15 +158,15 @@ def track_stats(tracks: DataFrame, pinning: str = "INPUT_PINS", pins: DataFrame
     moved = F.col("_plat").isNotNull()
     point = some(
         {
-            "_duration": F.col("_run_t"), "_distance": F.col("_run_d"), "_points": F.col("_run_n"), "_radius": F.col("_r"),
+            "_duration": F.col("_run_t").cast("bigint"), "_distance": F.col("_run_d"), "_points": F.col("_run_n"), "_radius": F.col("_r"),
             "_azi_from_prev": F.when(moved, F.col("_leg.azi2")), "_azi_to_prev": F.when(moved, F.col("_leg.azi1")),
             "_azi_from_next": F.col("_next1"), "_azi_to_next": F.col("_next2"),
         }
     )
-    group = lambda c: some({"_duration": F.col(f"{c}.t"), "_distance": F.col(f"{c}.d"), "_points": F.col(f"{c}.n"), "_radius": F.col(f"{c}.r")})
+    group = lambda c: some({"_duration": F.col(f"{c}.t").cast("bigint"), "_distance": F.col(f"{c}.d"), "_points": F.col(f"{c}.n"), "_radius": F.col(f"{c}.r")})
     over = lambda old, new: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
     return rows.select(
-        *TRACK_COLUMNS[:7],
+        *TRACK_COLUMNS[:8],
         over(F.col("track_props"), group("_trk")).alias("track_props"),
         over(F.col("seg_props"), group("_seg")).alias("seg_props"),
         over(F.col("props"), point).alias("props"),

@@ -34,6 +34,15 @@ def range_column(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
     return _range_of(F.col(value).cast("double"), sorted(set(found)))
 
 
+def repeated(df: DataFrame, n: str, at_once: int = 65_536) -> DataFrame:
+    """Each row ``n`` times (not at all for 0), the column dropped; no array of more than ``at_once`` numbers is made,
+    nor of more than n / at_once."""
+    parts = F.explode(F.sequence(F.lit(0), F.expr(f"CAST((`{n}` - 1) DIV {at_once} AS INT)")))
+    cut = df.filter(F.col(n) > 0).withColumn("_part", parts)
+    size = F.least(F.lit(at_once), F.col(n) - F.col("_part") * F.lit(at_once)).cast("int")
+    return cut.withColumn("_i", F.explode(F.sequence(F.lit(1), size))).drop("_part", "_i", n)
+
+
 def cumulative_counts(counted: DataFrame, key: str | None, value: str, n: str, ranges: int = RANGES) -> DataFrame:
     """Adds ``_upto`` (rows with values up to this one), ``_below`` (with smaller ones) and ``_total`` per key.
 

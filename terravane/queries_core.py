@@ -101,15 +101,42 @@ _dialect(
     "or_in_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", orders="orders", customer="customer",
 )
+def _joined(how: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Orders above 250,000 and customers with a positive balance: both sides have rows without a partner."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        o = pairs.map_to_pair(table(spark, sf, "orders").filter("o_totalprice > 250000"), ["o_custkey"])
+        c = pairs.map_to_pair(table(spark, sf, "customer").filter("c_acctbal > 0"), ["c_custkey"])
+        query = f"SELECT c.c_custkey AS custkey, o.o_orderkey AS orderkey FROM {how} JOIN o, c"
+        return select(query, {"o": Stream(o, Kind.KV, "o"), "c": Stream(c, Kind.KV, "c")}).df.drop("_key")
+
+    return run
+
+
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
-    _dialect(
-        f"join_{_how}",
-        f"SELECT c.c_custkey AS custkey, o.o_orderkey AS orderkey FROM {_how.upper()} JOIN o, c WHERE o.o_totalprice > 100000 OR o.o_totalprice IS NULL",
-        f"SELECT c_custkey AS custkey, o_orderkey AS orderkey FROM orders {_sql} customer ON o_custkey = c_custkey WHERE o_totalprice > 100000 OR o_totalprice IS NULL",
-        pairs_by={"o": ["o_custkey"], "c": ["c_custkey"]}, o="orders", c="customer",
-    )
-    _pair = QUERIES[f"join_{_how}"]
-    QUERIES[f"join_{_how}"] = lambda spark, sf, f=_pair: f(spark, sf).drop("_key")
+    QUERIES[f"join_{_how}"] = _joined(_how.upper())
+    ORACLES[f"join_{_how}"] = f"""SELECT c_custkey AS custkey, o_orderkey AS orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 250000) {_sql}
+        (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey"""
+
+
+@_query("SELECT 1000 AS n, true AS all_rows")
+def select_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows a limit keeps, and that all are rows of the table."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    kept = select("SELECT * FROM lineitem LIMIT 1000", {"lineitem": Stream(lines, Kind.CSV, "lineitem")}).df
+    found = kept.join(lines.withColumn("_in", F.lit(True)).distinct(), ["l_orderkey", "l_linenumber"], "left")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("_in", F.lit(False))).alias("all_rows"))
+
+
+@_query("SELECT true AS near_share, true AS all_rows")
+def select_limit_percent(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a sample of 10 % has a tenth of the rows, six standard deviations at most off, and only rows of the table."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    kept = select("SELECT * FROM lineitem LIMIT 10%", {"lineitem": Stream(lines, Kind.CSV, "lineitem")}).df
+    both = lines.withColumn("_all", F.lit(1)).unionByName(kept.withColumn("_all", F.lit(0)))
+    keys = both.groupBy("l_orderkey", "l_linenumber").agg(F.sum("_all").alias("_all"), F.sum(1 - F.col("_all")).alias("_kept"))
+    sums = keys.agg(F.sum("_all").alias("n"), F.sum("_kept").alias("k"), F.min(F.col("_kept") <= F.col("_all")).alias("all_rows"))
+    return sums.select((F.abs(F.col("k") - F.col("n") * 0.1) <= 6 * F.sqrt(F.col("n") * 0.09)).alias("near_share"), "all_rows")
 
 
 def _column(spark: SparkSession, sf: str, name: str, column: str, as_: str = "k") -> Stream:
@@ -129,16 +156,19 @@ ORACLES["union_concat"] = "SELECT n_nationkey AS k FROM nation UNION ALL SELECT
 ORACLES["union_and"] = "SELECT n_nationkey AS k FROM nation INTERSECT ALL SELECT s_nationkey FROM supplier INTERSECT ALL SELECT c_nationkey FROM customer"
 
 
-@_query("""WITH t AS (SELECT o_custkey AS k, 0 AS p FROM orders UNION ALL SELECT c_custkey, 1 FROM customer),
-    once AS (SELECT k, count(*) AS n FROM t GROUP BY k HAVING count(DISTINCT p) = 1) SELECT k FROM once, range(100) r(i) WHERE i < n""")
+@_query("""WITH t AS (SELECT o_custkey AS k, 0 AS p FROM orders WHERE o_totalprice > 250000 UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_acctbal > 5000),
+    once AS (SELECT k, count(*) AS n FROM t GROUP BY k HAVING count(DISTINCT p) = 1) SELECT k FROM (SELECT k, unnest(range(n)) AS i FROM once)""")
 def union_xor(spark: SparkSession, sf: str) -> DataFrame:
-    streams = {"orders": _column(spark, sf, "orders", "o_custkey"), "customer": _column(spark, sf, "customer", "c_custkey")}
-    return select("SELECT * FROM UNION XOR orders, customer", streams).df
+    """Customers of dear orders, as often as they have some, or rich ones, not both."""
+    dear = table(spark, sf, "orders").filter("o_totalprice > 250000").select(F.col("o_custkey").alias("k"))
+    rich = table(spark, sf, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k"))
+    return select("SELECT * FROM UNION XOR dear, rich", {"dear": Stream(dear, Kind.CSV, "dear"), "rich": Stream(rich, Kind.CSV, "rich")}).df
 
 
-@_query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@_query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 250000 AND o_custkey = c_custkey)")
 def subtract_column(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.subtract(table(spark, sf, "customer").select("c_custkey", "c_name"), table(spark, sf, "orders"), ["c_custkey"], ["o_custkey"])
+    dear = table(spark, sf, "orders").filter("o_totalprice > 250000")
+    return pairs.subtract(table(spark, sf, "customer").select("c_custkey", "c_name"), dear, ["c_custkey"], ["o_custkey"])
 
 
 @_query("SELECT l_suppkey AS k FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
@@ -325,6 +355,14 @@ def split_match(spark: SparkSession, sf: str) -> DataFrame:
     return _matched(spark, sf)[0]
 
 
+@_query("""SELECT s_suppkey, s_nationkey, m AS segment FROM supplier JOIN (SELECT c_nationkey, max(c_mktsegment) AS m FROM customer WHERE c_acctbal > 9500 GROUP BY 1) ON s_nationkey = c_nationkey""")
+def split_match_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Values with repeated keys: the greatest row of a key counts."""
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    rich = table(spark, sf, "customer").filter("c_acctbal > 9500").select("c_nationkey", "c_mktsegment")
+    return filters.split_match(suppliers, "s_nationkey", rich, "c_nationkey", ["c_mktsegment"])[0].withColumnRenamed("values.c_mktsegment", "segment")
+
+
 @_query("SELECT o_orderkey, o_custkey, NULL::VARCHAR AS segment FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
 def split_match_evicted(spark: SparkSession, sf: str) -> DataFrame:
     return _matched(spark, sf)[1]
@@ -350,15 +388,21 @@ def _exploded(spark: SparkSession, sf: str) -> DataFrame:
     return dates.explode_zones(events, "epoch", "Europe/Samara", "America/New_York")
 
 
-@_query("""SELECT event_id, date_trunc('second', ts) AS i, (date_trunc('second', ts) AT TIME ZONE 'Europe/Samara') AT TIME ZONE 'America/New_York' AS o,
-    isodow(i) AS _input_dow_int, hour(i) AS _input_hour_int, isodow(o) AS _output_dow_int, day(o) AS _output_day_int, month(o) AS _output_month_int,
-    year(o) AS _output_year_int, hour(o) AS _output_hour_int, minute(o) AS _output_minute_int, epoch(i)::BIGINT AS _epoch_time FROM events""")
-def timezone_explode(spark: SparkSession, sf: str) -> DataFrame:
-    out = _exploded(spark, sf).drop("epoch", "_input_date", "_input_day_int", "_input_month_int", "_input_year_int", "_input_minute_int", "_output_date")
-    return out
+def _iso_sql(wall: str, offset: str, zone: str) -> str:
+    """Text of a wall clock and its offset in seconds."""
+    clock = f"strftime({wall}, '%Y-%m-%dT%H:%M') || CASE WHEN second({wall}) = 0 THEN '' ELSE strftime({wall}, ':%S') END"
+    return f"{clock} || CASE WHEN {offset} < 0 THEN '-' ELSE '+' END || printf('%02d:%02d', (abs({offset}) // 3600)::INT, (abs({offset}) % 3600 // 60)::INT) || '[{zone}]'"
+
 
+_PARTS = {"dow": "isodow", "day": "day", "month": "month", "year": "year", "hour": "hour", "minute": "minute"}
 
-ORACLES["timezone_explode"] = f"SELECT * EXCLUDE (i, o) FROM ({ORACLES['timezone_explode']})"
+
+@_query(f"""WITH t AS (SELECT event_id, date_trunc('second', ts) AS i, epoch(i)::BIGINT AS e, (i AT TIME ZONE 'Europe/Samara') AS u, u AT TIME ZONE 'America/New_York' AS o,
+    (epoch(i) - epoch(u))::BIGINT AS io, (epoch(o) - epoch(u))::BIGINT AS oo FROM events)
+    SELECT event_id, e AS epoch, e AS _epoch_time, {_iso_sql("i", "io", "Europe/Samara")} AS _input_date, {_iso_sql("o", "oo", "America/New_York")} AS _output_date,
+    {", ".join(f"{f}({side}) AS _{name}_{part}_int" for side, name in (("i", "input"), ("o", "output")) for part, f in _PARTS.items())} FROM t""")
+def timezone_explode(spark: SparkSession, sf: str) -> DataFrame:
+    return _exploded(spark, sf)
 
 
 @_query("""WITH t AS (SELECT event_id, (date_trunc('second', ts) AT TIME ZONE 'Europe/Samara') AT TIME ZONE 'America/New_York' AS o FROM events)
@@ -368,9 +412,9 @@ def filter_by_date(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query("""WITH t AS (SELECT event_id, date_trunc('minute', (date_trunc('second', ts) AT TIME ZONE 'Europe/Samara') AT TIME ZONE 'America/New_York') AS o FROM events)
-    SELECT event_id FROM t WHERE o > TIMESTAMP '2024-02-01 00:00:00' AND o < TIMESTAMP '2024-03-01 12:00:00'""")
+    SELECT event_id FROM t WHERE o > TIMESTAMP '2024-01-10 00:00:00' AND o < TIMESTAMP '2024-01-20 12:00:00'""")
 def filter_by_date_range(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.filter_by_date(_exploded(spark, sf), _EXPLODED, "2024-02-01T00:00:00", "1709294400").select("event_id")
+    return filters.filter_by_date(_exploded(spark, sf), _EXPLODED, "2024-01-10T00:00:00", "1705752000").select("event_id")
 
 
 @_query("""WITH t AS (SELECT event_id, (date_trunc('second', ts) AT TIME ZONE 'Europe/Samara') AT TIME ZONE 'America/New_York' AS o FROM events)

@@ -149,12 +149,23 @@ def proximity_distances_all(spark: SparkSession, sf: str) -> DataFrame:
 _MESH = """lpad((floor(c1 * 1.5)::BIGINT % 100)::VARCHAR, 2, '0') || lpad(floor(c0 - 100)::BIGINT::VARCHAR, 2, '0')"""
 
 
-@_query(f"""WITH {_PLACES}, l1 AS (SELECT point_id, {_MESH} AS code, c1 - floor(c1 * 1.5) * (2 / 3.0::DOUBLE) AS y, c0 - (floor(c0 - 100) + 100) AS x FROM usable WHERE c0 BETWEEN 100 AND 180 AND c1 BETWEEN 0 AND 66),
-    l2 AS (SELECT point_id, code || floor(y / (2 / 3.0::DOUBLE / 8))::BIGINT || floor(x / 0.125)::BIGINT AS code, y - floor(y / (2 / 3.0::DOUBLE / 8)) * (2 / 3.0::DOUBLE / 8) AS y, x - floor(x / 0.125) * 0.125 AS x FROM l1)
-    SELECT point_id, code || floor(y / (2 / 3.0::DOUBLE / 8 / 10))::BIGINT || floor(x / (0.125::DOUBLE / 10))::BIGINT AS mesh FROM l2""")
+def _mesh_sql() -> str:
+    """Codes of all six levels, one step of arithmetic for each."""
+    height, width, y, x = "(2 / 3.0::DOUBLE)", "1.0::DOUBLE", "y", "x"
+    steps, code = [f"l1 AS (SELECT point_id, {_MESH} AS mesh_1, c1 - floor(c1 * 1.5) * {height} AS y1, c0 - (floor(c0 - 100) + 100) AS x1 FROM usable WHERE c0 BETWEEN 100 AND 180 AND c1 BETWEEN 0 AND 66)"], ""
+    for level, (rows, columns) in {2: (8, 8), 3: (10, 10), 4: (2, 2), 5: (2, 2), 6: (2, 2)}.items():
+        height, width, y, x = f"({height} / {rows})", f"({width} / {columns})", f"y{level - 1}", f"x{level - 1}"
+        j, i = f"floor({y} / {height})::BIGINT", f"floor({x} / {width})::BIGINT"
+        code = f"{j} || {i}" if level < 4 else f"({j} * 2 + {i} + 1)"
+        steps.append(f"l{level} AS (SELECT *, mesh_{level - 1} || {code} AS mesh_{level}, {y} - {j} * {height} AS y{level}, {x} - {i} * {width} AS x{level} FROM l{level - 1})")
+    return f"WITH {_PLACES}, {', '.join(steps)} SELECT point_id, {', '.join(f'mesh_{k}' for k in range(1, 7))} FROM l6"
+
+
+@_query(_mesh_sql())
 def japan_mesh_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of all levels for the places in the area that the standard covers."""
     once = table(spark, sf, "points").dropDuplicates(["point_id"]).filter("c0 BETWEEN 100 AND 180 AND c1 BETWEEN 0 AND 66 AND NOT isnan(c0) AND NOT isnan(c1)")
-    return once.select("point_id", japan_mesh(F.col("c1"), F.col("c0"), 3).alias("mesh"))
+    return once.select("point_id", *[japan_mesh(F.col("c1"), F.col("c0"), k).alias(f"mesh_{k}") for k in range(1, 7)])
 
 
 @_query()
@@ -252,6 +263,46 @@ def spatial_select_segments(spark: SparkSession, sf: str) -> DataFrame:
     return found.df.groupBy(F.col("_userid").alias("user"), F.col("seg_ord").alias("seg")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query(f"WITH {_PLACES} SELECT point_id::VARCHAR AS point FROM points_once WHERE c0 IS NOT NULL AND c1 IS NOT NULL AND c2 > 500 AND NOT isnan(c2)")
+def spatial_select_radius(spark: SparkSession, sf: str) -> DataFrame:
+    """A predicate on a property that every point has of itself."""
+    found = select("SELECT Point FROM places WHERE _radius > 500", {"places": Stream(_points(spark, sf), Kind.POINT)})
+    return found.df.select(F.col("props")["point_id"].alias("point"))
+
+
+@_query(f"WITH {_SEGMENTS} SELECT c0 AS user, c4::DOUBLE AS ts FROM numbered WHERE c4 % 7 = 3")
+def spatial_select_ts(spark: SparkSession, sf: str) -> DataFrame:
+    found = select("SELECT Point FROM tracks WHERE _ts % 7 = 3", {"tracks": Stream(_tracks(spark, sf), Kind.TRACK)})
+    return found.df.select(F.col("_userid").alias("user"), F.col("_ts").alias("ts"))
+
+
+@_query("SELECT 'bob' AS user, n_nationkey AS nation, 2 + k AS points, (n_nationkey + 40 * k + 0.5 * (1 + k))::DOUBLE AS lat FROM nation, (VALUES (0), (1)) t(k)")
+def gpx_two_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tracks of one name in each document stay two tracks."""
+    point = lambda lat: F.concat(F.lit('<trkpt lat="'), lat.cast("string"), F.lit('" lon="'), F.col("n_nationkey").cast("string"), F.lit('"/>'))
+    track = lambda k: F.concat(F.lit("<trk><name>bob</name><trkseg>"), *[point(F.col("n_nationkey") + 40 * k + i) for i in range(2 + k)], F.lit("</trkseg></trk>"))
+    lines = table(spark, sf, "nation").select(F.concat(F.lit("<gpx>"), track(0), track(1), F.lit("</gpx>")).alias("value"))
+    found = shapes.tracks_from_gpx(lines).groupBy("_userid", "_trk").agg(F.count(F.lit(1)).cast("int").alias("points"), F.round(F.avg("lat"), 6).alias("lat"), F.max("lon").cast("int").alias("nation"))
+    return found.select(F.col("_userid").alias("user"), "nation", "points", "lat")
+
+
+@_query(f"""WITH {_SEGMENTS}, w AS (SELECT c0, seg, c4, c2, c3, row_number() OVER s AS n, c4 - min(c4) OVER (PARTITION BY c0, seg) AS d FROM numbered WINDOW s AS (PARTITION BY c0, seg ORDER BY c4, c2, c3))
+    SELECT c0 AS user, seg, n::BIGINT AS points, d::BIGINT AS duration FROM w""")
+def track_stats_running(spark: SparkSession, sf: str) -> DataFrame:
+    """Running counts and durations of points within their segments."""
+    stats = spatial.track_stats(_tracks(spark, sf), "SEGMENT_STARTS")
+    return stats.select(F.col("_userid").alias("user"), F.col("seg_ord").alias("seg"), F.col("props")["_points"].cast("bigint").alias("points"), F.col("props")["_duration"].cast("bigint").alias("duration"))
+
+
+@_query(f"WITH {_SEGMENTS} SELECT c0 AS user, count(*) AS points FROM numbered WHERE substr(md5(c0), 1, 1) < '8' GROUP BY 1")
+def track_stats_pinned(spark: SparkSession, sf: str) -> DataFrame:
+    """Pins from a stream of their own; users without one are left out."""
+    tracks = _tracks(spark, sf)
+    pins = tracks.filter(F.substring(F.md5("_userid"), 1, 1) < "8").groupBy("_userid").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+    stats = spatial.track_stats(tracks, "INPUT_PINS", pins).filter(F.col("props")["_radius"].isNotNull())
+    return stats.groupBy(F.col("_userid").alias("user")).agg(F.count(F.lit(1)).alias("points"))
+
+
 @_query()
 def road_polygons(spark: SparkSession, sf: str) -> DataFrame:
     """Roads along the shells of the zones."""
@@ -271,8 +322,8 @@ def eye_views(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TASK = """
-task.input=orders,customer
-task.operations=$LET{SEGMENTS:customer},$IF{RICH:yes},rich,$ELSE,nobody,$END,$ITER{STATUS:F,O,P},pick,pairs,count,$END,all
+task.input=orders,states
+task.operations=$LET{STATES:states},$IF{RICH:yes},rich,$ELSE,nobody,$END,$ITER{STATES},pick,pairs,count,$END,all
 task.output=counts*
 op.operation.rich=columnarToolbox
 op.inputs.rich=orders
@@ -283,15 +334,15 @@ op.inputs.nobody=orders
 op.outputs.nobody=dear
 op.operation.pick=columnarToolbox
 op.inputs.pick=dear
-op.definition.pick.query=SELECT o_orderpriority, o_orderkey FROM dear WHERE o_orderstatus = '{STATUS}'
-op.outputs.pick=picked/{STATUS}
+op.definition.pick.query=SELECT o_orderpriority, o_orderkey FROM dear WHERE o_orderstatus = '{STATES}'
+op.outputs.pick=picked/{STATES}
 op.operation.pairs=mapToPair
-op.inputs.pairs=picked/{STATUS}
-op.definition.pairs.key.columns=picked/{STATUS}.o_orderpriority
-op.outputs.pairs=pairs/{STATUS}
+op.inputs.pairs=picked/{STATES}
+op.definition.pairs.key.columns=picked/{STATES}.o_orderpriority
+op.outputs.pairs=pairs/{STATES}
 op.operation.count=countByKey
-op.inputs.count=pairs/{STATUS}
-op.outputs.count=counts/{STATUS}
+op.inputs.count=pairs/{STATES}
+op.outputs.count=counts/{STATES}
 op.operation.all=columnarToolbox
 op.inputs.all=counts*
 op.definition.all.query=SELECT * FROM UNION counts *
@@ -299,9 +350,9 @@ op.outputs.all=total
 """
 
 
-@_query("""SELECT o_orderpriority AS _key, count(*) AS _count FROM orders WHERE o_totalprice > 50000 AND o_orderstatus IN ('F', 'O', 'P') GROUP BY o_orderpriority, o_orderstatus""")
+@_query("""SELECT o_orderpriority AS _key, count(*) AS _count FROM orders WHERE o_totalprice > 50000 AND o_orderstatus IN ('F', 'P') GROUP BY o_orderpriority, o_orderstatus""")
 def task_loop(spark: SparkSession, sf: str) -> DataFrame:
-    """A task with a variable from data, a condition, a loop over values and a union by wildcard."""
-    segments = table(spark, sf, "customer").select("c_mktsegment").distinct()
-    streams = run_task(_TASK, spark, streams={"orders": table(spark, sf, "orders"), "customer": segments})
+    """A task with a variable from data that a loop runs over, a condition and a union by wildcard."""
+    states = table(spark, sf, "orders").select("o_orderstatus").filter("o_orderstatus <> 'O'").distinct()
+    streams = run_task(_TASK, spark, streams={"orders": table(spark, sf, "orders"), "states": states})
     return streams["total"].df

@@ -8,6 +8,7 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,15 +42,17 @@ def points_from_columns(
     return out.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
-def _features(lines: DataFrame, column: str) -> DataFrame:
-    """``kind, coordinates, props`` of every feature; lines that are no GeoJSON give none."""
+def _features(lines: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    """``kind, coordinates, props`` of every feature, of the properties only those to ``keep`` if any are named; lines
+    that are no GeoJSON give none."""
+    wanted = (lambda k, v: v.isNotNull() & k.isin(*keep)) if keep else (lambda _, v: v.isNotNull())
     doc = F.from_json(F.col(f"`{column}`"), DOCUMENT)
     one = F.array(F.struct(F.col("d.geometry").alias("geometry"), F.col("d.properties").alias("properties")))
     rows = lines.select(doc.alias("d")).select(F.explode(F.when(F.col("d.type") == "FeatureCollection", F.col("d.features")).otherwise(one)).alias("f"))
     return rows.select(
         F.col("f.geometry.type").alias("kind"),
         F.col("f.geometry.coordinates").alias("coordinates"),
-        F.map_filter(F.coalesce(F.col("f.properties"), F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull()).alias("props"),
+        F.map_filter(F.coalesce(F.col("f.properties"), F.create_map().cast("map<string,string>")), wanted).alias("props"),
     ).filter(F.col("kind").isNotNull())
 
 
@@ -119,14 +122,14 @@ def with_centres(rows: DataFrame) -> DataFrame:
     return parts.select("rings", mean("lat").alias("center_lat"), mean("lon").alias("center_lon"), "props").select(*POLYGON_COLUMNS)
 
 
-def polygons_from_geojson(lines: DataFrame, column: str = "value") -> DataFrame:
+def polygons_from_geojson(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
     """POLYGON rows of the Polygon and MultiPolygon features; several polygons of a feature are rows of their own."""
-    return _polygon_rows(_features(lines, column))
+    return _polygon_rows(_features(lines, column, keep))
 
 
-def points_from_geojson(lines: DataFrame, column: str = "value", default_radius: float | None = None) -> DataFrame:
+def points_from_geojson(lines: DataFrame, column: str = "value", default_radius: float | None = None, keep: list[str] | None = None) -> DataFrame:
     """POINT rows: points as they are, polygons by their centroids."""
-    features = _features(lines, column)
+    features = _features(lines, column, keep)
     r = F.lit(None if default_radius is None else float(default_radius)).cast("double")
     single = F.array(F.from_json("coordinates", "array<double>"))
     many = F.from_json("coordinates", "array<array<double>>")
@@ -175,6 +178,7 @@ def tracks_from_columns(
         .withColumn("track_props", user_props)
         .withColumn("seg_props", F.create_map(F.lit("_userid"), F.col("_userid"), F.lit("_track_id"), F.col("_track_id")))
         .withColumn("seg_ord", F.col("seg_ord").cast("int"))
+        .withColumn("_trk", F.lit("0"))
         .select(*TRACK_COLUMNS)
     )
 
@@ -188,34 +192,35 @@ def tracks_to_points(tracks: DataFrame) -> DataFrame:
     return tracks.select("lat", "lon", F.lit(None).cast("double").alias("radius"), F.map_concat(inner, outer).alias("props"))
 
 
-_FLAT = "_userid string, seg_ord int, _track_id string, pt_ord int, _ts double, lat double, lon double"
+_FLAT = "_userid string, _trk string, seg_ord int, _track_id string, pt_ord int, _ts double, lat double, lon double"
 
 
-def _gpx_points(line: str, fallback: str) -> Iterator[tuple]:
-    """Points of one GPX document; names are looked up without namespaces."""
+def _gpx_points(line: str, digest: str, place: str) -> Iterator[tuple]:
+    """Points of one GPX document, the tracks told apart by ``place``; names are looked up without namespaces."""
     for element in (root := ET.fromstring(line)).iter():
         element.tag = element.tag.rpartition("}")[2]
     for number_, track in enumerate(root.iter("trk")):
-        name = track.findtext("name") or f"{fallback}-{number_}"
+        name = track.findtext("name") or f"{digest}-{number_}"
         for s, segment in enumerate(track.iter("trkseg")):
             for p, point in enumerate(segment.iter("trkpt")):
                 time = point.findtext("time")
                 ts = datetime.fromisoformat(time.strip().replace("Z", "+00:00")).timestamp() if time else float(p)
-                yield name, s, str(s), p, ts, float(point.get("lat")), float(point.get("lon"))
+                yield name, f"{place}-{number_}", s, str(s), p, ts, float(point.get("lat")), float(point.get("lon"))
 
 
 def tracks_from_gpx(lines: DataFrame, column: str = "value") -> DataFrame:
-    """TRACK rows from one GPX document per line; tracks without a name are called after the document's digest.
-
-    Lines that are not well-formed give no rows.
+    """TRACK rows from one GPX document per line, every ``trk`` a track of its own, also those of one name; tracks
+    without a name are called after the document's digest. Lines that are not well-formed give no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows: list[tuple] = []
             for line, digest in zip(batch["value"], batch["d"]):
+                count += 1
                 try:
-                    rows += list(_gpx_points(line, digest))
+                    rows += list(_gpx_points(line, digest, f"{digest}-{task}-{count}"))
                 except (ET.ParseError, ValueError, TypeError):
                     continue
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FLAT.split(", ")])
@@ -223,7 +228,7 @@ def tracks_from_gpx(lines: DataFrame, column: str = "value") -> DataFrame:
     source = lines.select(F.col(f"`{column}`").alias("value")).filter(F.col("value").isNotNull()).withColumn("d", F.md5("value"))
     flat = source.mapInPandas(run, _FLAT)
     return flat.select(
-        *TRACK_COLUMNS[:7],
+        *TRACK_COLUMNS[:8],
         F.create_map(F.lit("_userid"), F.col("_userid")).alias("track_props"),
         F.create_map(F.lit("_userid"), F.col("_userid"), F.lit("_track_id"), F.col("_track_id")).alias("seg_props"),
         F.create_map(F.lit("_ts"), F.col("_ts").cast("string")).alias("props"),
@@ -231,16 +236,16 @@ def tracks_from_gpx(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def tracks_to_gpx(tracks: DataFrame, creator: str = "terravane") -> DataFrame:
-    """``value``: one GPX document per user, segments and points in order; assembled by segment, then by user."""
+    """``value``: one GPX document per track, segments and points in order; assembled by segment, then by track."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     time = F.date_format(F.timestamp_seconds(F.floor("_ts")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     point = F.concat(
         F.lit('<trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('"><time>'), time, F.lit("</time></trkpt>")
     )
     text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["x"]), "")
-    segments = tracks.groupBy("_userid", "seg_ord").agg(text(F.struct("pt_ord", point.alias("x"))).alias("points"))
+    segments = tracks.groupBy("_userid", "_trk", "seg_ord").agg(text(F.struct("pt_ord", point.alias("x"))).alias("points"))
     segment = F.concat(F.lit("<trkseg>"), F.col("points"), F.lit("</trkseg>"))
-    users = segments.groupBy("_userid").agg(text(F.struct("seg_ord", segment.alias("x"))).alias("body"))
+    users = segments.groupBy("_userid", "_trk").agg(text(F.struct("seg_ord", segment.alias("x"))).alias("body"))
     head = f'<gpx version="1.1" creator="{creator}" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>'
     return users.select(F.concat(F.lit(head), escape(F.col("_userid")), F.lit("</name>"), F.col("body"), F.lit("</trk></gpx>")).alias("value"))
 

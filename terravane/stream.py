@@ -2,7 +2,7 @@
 
 Columns by kind. PLAIN: ``value``. CSV and FIXED: the named columns. KV: ``_key`` and the value's columns. POINT: ``lat,
 lon, radius, props``. POLYGON: ``rings`` (arrays of struct lon, lat; the first is the shell), ``center_lat, center_lon,
-props``. TRACK, one row per point: ``_userid, seg_ord, _track_id, pt_ord, _ts, lat, lon, track_props, seg_props, props``.
+props``. TRACK, one row per point: ``_userid, _trk`` (one user may have several tracks)``, seg_ord, _track_id, pt_ord, _ts, lat, lon, track_props, seg_props, props``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ class Kind(Enum):
 KEY = "_key"
 POINT_COLUMNS = ["lat", "lon", "radius", "props"]
 POLYGON_COLUMNS = ["rings", "center_lat", "center_lon", "props"]
-TRACK_COLUMNS = ["_userid", "seg_ord", "_track_id", "pt_ord", "_ts", "lat", "lon", "track_props", "seg_props", "props"]
+TRACK_COLUMNS = ["_userid", "_trk", "seg_ord", "_track_id", "pt_ord", "_ts", "lat", "lon", "track_props", "seg_props", "props"]
 COLUMNAR = (Kind.CSV, Kind.FIXED, Kind.KV)
 
 

@@ -331,18 +331,24 @@ def _line(s: Stream) -> str:
     return s.df.columns[0]
 
 
+def _kept(call: Call) -> list[str]:
+    """Names of the properties that the output's columns ask for, without the output's name; none: all of them."""
+    out = call.outputs[0] if call.outputs else ""
+    return [str(c).removeprefix(f"{out}.") for c in call.output_columns.get(out, [])]
+
+
 @operation("pointJsonSource", Param("radius.default", "float"))
 def point_json_source(call: Call) -> Streams:
     """Points from GeoJSON lines, polygons by their centroids."""
     s = call.stream()
-    return {0: Stream(shapes.points_from_geojson(s.df, _line(s), call["radius.default"]), Kind.POINT)}
+    return {0: Stream(shapes.points_from_geojson(s.df, _line(s), call["radius.default"], _kept(call)), Kind.POINT)}
 
 
 @operation("polygonJsonSource")
 def polygon_json_source(call: Call) -> Streams:
     """Polygons from GeoJSON lines."""
     s = call.stream()
-    return {0: Stream(shapes.polygons_from_geojson(s.df, _line(s)), Kind.POLYGON)}
+    return {0: Stream(shapes.polygons_from_geojson(s.df, _line(s), _kept(call)), Kind.POLYGON)}
 
 
 @operation("polygonH3Source", _need("hash.column"))

@@ -34,3 +34,9 @@ def test_same_as_sql(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(n for n in CORE if n not in entry.oracle_sql()))
+def test_runs_with_a_stable_schema(spark, name):
+    df = CORE[name](spark, SF)
+    assert df.count() > 0 and df.schema == CORE[name](spark, SF).schema
