@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terravane.plans.salting import salted_join
 from terravane.plans.tiles import EARTH_M, within_reach
+from terravane.session import cut_lineage
 
 
 def usable(lon: Column, lat: Column) -> Column:
@@ -98,7 +99,8 @@ def contained(points: DataFrame, ring: DataFrame, strip_deg: float = 0.25, cell_
     )
     # A point west of all of a zone's edges in its strip crosses an even number, one east of them none: those cells need no edges.
     placed = binned.join(spans, ["zone", "strip"]).select("strip", F.explode(F.sequence("c0", "c1")).alias("cell"), "zone", "ax", "ay", "bx", "by")
-    hits = salted_join(base, placed, ["strip", "cell"])
+    # Edges are read for the counts of hot cells and for the join; what they come from is read once.
+    hits = salted_join(base, cut_lineage(placed), ["strip", "cell"])
     x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
     at = ax + (y - ay) * (bx - ax) / F.when(ay != by, by - ay)
     crosses = F.coalesce(((ay > y) != (by > y)) & (at > x), F.lit(False))

@@ -6,6 +6,10 @@ segmented by a penalised changepoint model: two regimes, resting and moving, a c
 and speed, and a penalty for every change; dynamic programming finds the cheapest segmentation. Resting segments are
 checked against the stop radius. Stops seen from both sides of a chunk's border are united afterwards, on the far
 smaller table of stops; trips lie between successive stops with no gap break.
+
+What is ordered per device there is bounded by time, not by pings: stops last ``min_s`` or more and do not overlap, breaks
+``gap_s``, chunk totals come once per chunk, so a year of one device is at most some 100,000 stops, 9,000 breaks and 365
+totals, whether it has a thousand pings or a third of all. A chunk is bounded by the pings of one device in one day.
 """
 
 from __future__ import annotations

@@ -85,3 +85,15 @@ def test_stops_and_trips(spark):
 
 def test_empty(spark):
     assert found(spark, [])[0] == set()
+
+
+def test_penalty_decides_what_is_a_change(spark):
+    """Noise that throws two pings of a rest across its circle is a change of regime only if changes cost nothing."""
+    degree = 111_195.0
+    at = [(50.0 if k in (10, 11) else -50.0 if k % 2 else -45.0) for k in range(40)]  # metres east; all within 60 m of one place
+    away = [(5_000.0 + 400.0 * k) for k in range(10)]
+    rows = [("u", 60 * k, 0.0001, 10 + x / degree) for k, x in enumerate(at)] + [("u", 60 * (40 + k), 0.0001, 10 + x / degree) for k, x in enumerate(away)]
+    df = spark.createDataFrame(rows, "u string, t long, lat double, lon double")
+    stops = lambda penalty: [(r["start_ts"], r["end_ts"]) for r in stops_and_trips(df, "u", "t", "lat", "lon", rules=StopRules(penalty=penalty)).filter("kind = 'stop'").orderBy("start_ts").collect()]
+    assert stops(0.5) == [(0, 60 * 39)]
+    assert stops(0.0) == [(0, 60 * 9), (60 * 12, 60 * 39)]
