@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +25,47 @@ def number(df: DataFrame, column: str) -> Column:
     return c.cast("double") if kind_of(dict(df.dtypes)[column]) == "number" else c.cast("string").try_cast("double")
 
 
+def _largest_steps(base: DataFrame, order: str | None) -> DataFrame:
+    """``_key, _step``: the greatest difference of successive values ``_x`` in order, per key; null for a single value.
+
+    Rows are ranged by key and order (without one they stay where they are), so a hot key goes to many tasks. Each task
+    gives first and last value and the greatest step of its part of a key; the borders between parts, one row for each
+    key and task, are compared afterwards.
+    """
+    rows = base.filter(F.col("_x").isNotNull()).select(F.col(KEY).alias("k"), (F.col(f"`{order}`") if order else F.monotonically_increasing_id()).alias("o"), F.col("_x").alias("x"))
+    ranged = rows.repartitionByRange("k", "o") if order else rows
+    kind = dict(rows.dtypes)["k"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, x = batch["k"].to_numpy(), batch["x"].to_numpy(float)
+            new = np.concatenate([[True], (key[1:] != key[:-1]) & ~(pd.isna(key[1:]) & pd.isna(key[:-1]))])
+            start = np.flatnonzero(new)
+            step = np.concatenate([[-1.0], np.abs(np.diff(x))])
+            step[new] = -1.0
+            found = pd.DataFrame({"k": key[start], "part": part, "first": x[start], "last": x[np.append(start[1:], len(x)) - 1], "step": np.maximum.reduceat(step, start)})
+            if held is not None:  # the key that the batch before ended with may go on
+                same = held["k"] == found["k"][0] or (pd.isna(held["k"]) and pd.isna(found["k"][0]))
+                if same:
+                    found.loc[0, "step"] = max(held["step"], found["step"][0], abs(found["first"][0] - held["last"]))
+                    found.loc[0, "first"] = held["first"]
+                else:
+                    yield pd.DataFrame([held])
+            held = found.iloc[-1].to_dict()
+            if len(found) > 1:
+                yield found.iloc[:-1]
+        if held is not None:
+            yield pd.DataFrame([held])
+
+    parts = ranged.sortWithinPartitions("k", "o").drop("o").mapInPandas(run, f"k {kind}, part int, first double, last double, step double")
+    border = F.abs(F.col("first") - F.lag("last").over(W.partitionBy("k").orderBy("part")))
+    best = F.max(F.greatest(F.col("step"), F.coalesce("_border", F.lit(-1.0))))
+    return parts.withColumn("_border", border).groupBy(F.col("k").alias(KEY)).agg(F.when(best >= 0, best).alias("_step"))
+
+
 def keyed_math(df: DataFrame, function: str, column: str | None = None, const: float | None = None, full: bool = False, order: str | None = None) -> DataFrame:
     """``_key, _result`` (or, for MIN and MAX with ``full``, the whole rows of the extremes).
 
@@ -44,10 +89,9 @@ def keyed_math(df: DataFrame, function: str, column: str | None = None, const: f
         counted = base.groupBy(KEY, "_x").agg(F.count(F.lit(1)).alias("_n"))
         return counted.groupBy(KEY).agg(F.percentile("_x", F.lit(0.5), F.col("_n")).alias("_result"))
     if function == "EQUALITY" and const is not None:
-        steps = base.filter(F.col("_x").isNotNull()).withColumn(
-            "_step", F.abs(F.col("_x") - F.lag("_x").over(W.partitionBy(KEY).orderBy(order or F.monotonically_increasing_id())))
-        )
-        return steps.groupBy(KEY).agg(F.when(F.coalesce(F.max("_step"), F.lit(0.0)) < abs(const), 1.0).otherwise(F.when(F.max("_step").isNull() | (F.max("_step") == 0), 1.0).otherwise(0.0)).alias("_result"))
+        steps = _largest_steps(base, order)
+        same = F.coalesce(F.col("_step"), F.lit(0.0)) < abs(const)
+        return steps.select(KEY, F.when(same, 1.0).otherwise(F.when(F.col("_step").isNull() | (F.col("_step") == 0), 1.0).otherwise(0.0)).alias("_result"))
     x = F.col("_x")
     if function in ("SUBTRACT", "DIV"):
         place = F.col(f"`{order}`") if order else F.monotonically_increasing_id()

@@ -98,3 +98,15 @@ def test_dates(spark):
     count = lambda **k: filters.filter_by_date(parts, columns, **k).count()
     assert count(hhmm_start=2300, hhmm_end=100) == 2 and count(hhmm_start=100, hhmm_end=1200) == 2 and count(start="2020-05-01T23:30:00") == 2
     assert count(allowed={"month": ["13"]}) == 4 and count(allowed={"date": ["1", "99"]}) == 1 and count() == 4
+
+
+def test_equality_with_a_constant_across_parts(spark):
+    """Steps between successive values also where a key's rows lie in many parts."""
+    from terravane.operators.maths import keyed_math
+
+    rows = [("small", i, float(i % 5)) for i in range(400)] + [("jump", i, 0.0 if i < 200 else 50.0) for i in range(400)] + [("one", 1, 7.0), (None, 1, 1.0), (None, 2, 9.0), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "_key string, o int, v double")
+    for shuffled in (df.repartition(13), df.coalesce(1)):
+        out = {r["_key"]: r["_result"] for r in keyed_math(shuffled, "EQUALITY", "v", 5.0, order="o").collect()}
+        assert out == {"small": 1.0, "jump": 0.0, "one": 1.0, None: 0.0}
+    assert keyed_math(df.limit(0), "EQUALITY", "v", 5.0, order="o").count() == 0
