@@ -142,38 +142,90 @@ def uniform_coverage(df: DataFrame, kind: Kind, level: int = 9) -> DataFrame:
 
 
 class _Compact:
-    """Which cells of a level are kept whole: those whose centre and whose neighbours' centres lie in the polygon."""
+    """Which cells of a polygon's coverage are free (not covered yet) and which are kept whole, level by level."""
 
-    def __init__(self, rings: list[np.ndarray]):
-        self.rings, self.known = rings, {}
+    def __init__(self, rings: list[np.ndarray], low: int):
+        self.rings, self.low = rings, low
+        self._free: dict[int, bool] = {}
+        self._kept: dict[int, bool] = {}
 
-    def whole(self, cells: np.ndarray) -> np.ndarray:
-        """Which of the cells, all of one level, are kept whole as far as the polygon goes."""
-        new = np.array([c for c in np.unique(cells).tolist() if c not in self.known], np.uint64)
+    def free(self, cells: np.ndarray, level: int) -> np.ndarray:
+        """Which cells have their centre in the polygon and in no kept coarser cell."""
+        new = np.array([c for c in np.unique(cells).tolist() if c not in self._free], np.uint64)
         if len(new):
-            near = np.concatenate([new[:, None], hexgrid.neighbours_of(new)], 1)
-            inside = _contains(self.rings, *hexgrid.centres(near.ravel())).reshape(near.shape).all(1)
-            self.known.update(zip(new.tolist(), inside.tolist()))
-        return np.array([self.known[c] for c in cells.tolist()], bool)
-
-    def cells(self, low: int, high: int, box: tuple[float, float, float, float]) -> Iterator[tuple[int, int]]:
-        """(cell, level) with centres in the box; the last level also covers the rim, one ring beyond."""
-        for level in range(low, high + 1):
-            found = _fill(self.rings, level, box)
-            lat, lon = hexgrid.centres(found)
-            free = np.ones(len(found), bool)
-            for coarse in range(low, level):
-                free &= ~self.whole(hexgrid.encode(lat, lon, coarse))
-            rest = found[free]
-            kept = rest[self.whole(rest)] if level < high else np.unique(np.concatenate([rest, hexgrid.neighbours_of(rest).ravel()]))
-            yield from ((c, level) for c in kept.tolist())
+            lat, lon = hexgrid.centres(new)
+            fine = _contains(self.rings, lat, lon)
+            for coarse in range(self.low, level):
+                left = np.flatnonzero(fine)
+                if len(left):
+                    fine[left] = ~self.kept(hexgrid.encode(lat[left], lon[left], coarse), coarse)
+            self._free.update(zip(new.tolist(), fine.tolist()))
+        return np.array([self._free[c] for c in cells.tolist()], bool)
+
+    def kept(self, cells: np.ndarray, level: int) -> np.ndarray:
+        """Which cells are kept: free ones with free neighbours only."""
+        new = np.array([c for c in np.unique(cells).tolist() if c not in self._kept], np.uint64)
+        if len(new):
+            whole = self.free(new, level)
+            inner = new[whole]
+            if len(inner):
+                near = hexgrid.neighbours_of(inner)
+                whole[whole] = self.free(near.ravel(), level).reshape(near.shape).all(1)
+            self._kept.update(zip(new.tolist(), whole.tolist()))
+        return np.array([self._kept[c] for c in cells.tolist()], bool)
+
+    def _covered(self, box: tuple[float, float, float, float], level: int) -> bool:
+        """Whether one kept coarser cell holds the box with some margin around; a cell is convex, so its rim tells."""
+        west, south, east, north = box
+        dx, dy = 0.05 * (east - west), 0.05 * (north - south)
+        if max(abs(south), abs(north)) > 80:
+            return False
+        lon, lat = (np.array(v) for v in zip(*[(x, y) for x in (west - dx, (west + east) / 2, east + dx) for y in (south - dy, (south + north) / 2, north + dy)]))
+        for coarse in range(self.low, level):
+            cells = hexgrid.encode(lat, lon, coarse)
+            if (cells == cells[0]).all() and self.kept(cells[:1], coarse)[0]:
+                return True
+        return False
+
+    def cells(self, high: int, box: tuple[float, float, float, float]) -> Iterator[tuple[int, int]]:
+        """(cell, level) with centres in the box; the last level also covers the rim, one ring beyond.
+
+        From level to level the box is cut into smaller ones, and those that a kept cell holds are left out.
+        """
+        (w, s), (e, n) = self.rings[0].min(0), self.rings[0].max(0)
+        west, south, east, north = max(box[0], w), max(box[1], s), min(box[2], np.nextafter(e, np.inf)), min(box[3], np.nextafter(n, np.inf))
+        boxes = [(west, south, east, north)] if west < east and south < north else []
+        for level in range(self.low, high + 1):
+            size = BOX_CELLS * hexgrid.edge_m(level) / DEGREE_M
+            boxes = [part for b in boxes for part in _cut(b, size) if not self._covered(part, level)]
+            for part in boxes:
+                found = _fill(self.rings, level, part)
+                if not len(found):
+                    continue
+                rest = found[self.free(found, level)]
+                kept = rest[self.kept(rest, level)] if level < high else np.unique(np.concatenate([rest, hexgrid.neighbours_of(rest).ravel()]))
+                yield from ((c, level) for c in kept.tolist())
+
+
+#: Edges of cells along a side of the boxes that a coverage is made in.
+BOX_CELLS = 32
+
+
+def _cut(box: tuple[float, float, float, float], size: float) -> Iterator[tuple[float, float, float, float]]:
+    """The box in equal parts of about ``size`` degrees; neighbours share their borders exactly."""
+    west, south, east, north = box
+    xs, ys = (np.linspace(a, b, max(1, int(np.ceil((b - a) / size))) + 1).tolist() for a, b in ((west, east), (south, north)))
+    for y0, y1 in zip(ys, ys[1:]):
+        for x0, x1 in zip(xs, xs[1:]):
+            yield x0, y0, x1, y1
 
 
 def compact_coverage(polygons: DataFrame, low: int = 1, high: int = 9) -> DataFrame:
     """``props, _hash, _level, _parent``: coarse cells inside a polygon, finer ones towards its rim.
 
-    A cell of a level below ``high`` is kept if it and all its neighbours have their centres in the polygon and no kept
-    coarser cell holds its centre; at ``high`` the rest is covered, with one ring around. ``_parent`` tells polygons
+    A cell of a level below ``high`` is kept if it and all its neighbours have their centres in the polygon and in no
+    kept coarser cell, so between two kept cells of one level and around each lie finer ones; at ``high`` the rest is
+    covered, with one ring around. ``_parent`` tells polygons
     apart: a hash of shape and properties, the same in every run. Equal polygons count once.
     """
     if not 0 <= low <= high <= 15:
@@ -183,7 +235,7 @@ def compact_coverage(polygons: DataFrame, low: int = 1, high: int = 9) -> DataFr
     @F.pandas_udf("array<struct<h:string,l:int>>")
     def covered(lon: pd.Series, lat: pd.Series, n: pd.Series, tx: pd.Series, ty: pd.Series, size: pd.Series) -> pd.Series:
         rows = zip(map(split_rings, lon, lat, n), map(_box, tx, ty, size))
-        return pd.Series([[{"h": format(c, "x"), "l": level} for c, level in _Compact(rings).cells(low, high, box)] for rings, box in rows])
+        return pd.Series([[{"h": format(c, "x"), "l": level} for c, level in _Compact(rings, low).cells(high, box)] for rings, box in rows])
 
     tiled = _tiles(keyed, high).withColumn("_cells", covered(*flat_rings(), "_tx", "_ty", "_size"))
     cells = tiled.select("_p", "_parent", F.explode("_cells").alias("c"))

@@ -140,3 +140,21 @@ def test_all_places_are_points_of_interest(spark, tmp_path):
     want = {(str(i), str(i)) for i in range(1, 5)} | {(str(i), "4") for i in range(1, 4)} | {("1", "2"), ("1", "3"), ("2", "1"), ("2", "3"), ("3", "2")}
     assert set(found) == want and abs(found["2", "1"] - 11.12) < 0.02
     assert {(r["point"], r["poi"]) for r in queries_geo.proximity_filter_all(spark, str(tmp_path)).collect()} == set(found)
+
+
+def test_compact_coverage_leaves_rings_between_levels():
+    """Level by level against the plain statement: kept are cells whose whole neighbourhood is uncovered polygon."""
+    ring = np.array([[10.0, 45.0], [12.2, 45.1], [12.0, 46.8], [10.9, 46.2], [10.1, 46.9]])
+    box, low, high = (-180.0, -90.0, 180.0, 90.0), 4, 6
+    wanted, kept = set(), {}
+    for level in range(low, high + 1):
+        inside = hexagons._fill([ring], level, box)
+        lat, lon = hexgrid.centres(inside)
+        covered = np.zeros(len(inside), bool)
+        for coarse in range(low, level):
+            covered |= np.isin(hexgrid.encode(lat, lon, coarse), np.array(sorted(kept[coarse]), np.uint64))
+        rest = set(inside[~covered].tolist())
+        kept[level] = {c for c in rest if set(hexgrid.neighbours(c)) <= rest}
+        wanted |= {(c, level) for c in (kept[level] if level < high else rest | {n for c in rest for n in hexgrid.neighbours(c)})}
+    assert kept[low] and len({level for _, level in wanted}) == 3
+    assert set(hexagons._Compact([ring], low).cells(high, box)) == wanted
