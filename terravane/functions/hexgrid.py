@@ -244,15 +244,17 @@ def _encode(lat: np.ndarray, lon: np.ndarray, res: int) -> np.ndarray:
     pent = grid.pentagon[base]
     hexa = ~pent
     digits[hexa] = TURNS[turn[hexa][:, None], digits[hexa]]
-    for row in np.flatnonzero(pent & (digits.any(1) if res else False)):
-        d = digits[row : row + 1]
-        if _leading(d)[0] == 1:
-            d = TURNS[5 if face[row] in CLOCKWISE.get(int(base[row]), ()) else 1, d]
-        for _ in range(turn[row]):
-            d = TURNS[1, d]
-            if _leading(d)[0] == 1:
-                d = TURNS[1, d]
-        digits[row] = d[0]
+    rows = np.flatnonzero(pent & digits.any(1)) if res else np.zeros(0, np.int64)
+    if len(rows):
+        # A pentagon lacks the sector of digit 1: cells that would lie in it are turned out of it, at first and after every turn.
+        d, turns = digits[rows], turn[rows]
+        lost = _leading(d) == 1
+        clockwise = np.array([f in CLOCKWISE.get(b, ()) for f, b in zip(face[rows][lost].tolist(), base[rows][lost].tolist())], bool)
+        d[lost] = TURNS[np.where(clockwise, 5, 1)[:, None], d[lost]]
+        for n in range(int(turns.max())):
+            d = np.where((turns > n)[:, None], TURNS[1, d], d)
+            d = np.where(((turns > n) & (_leading(d) == 1))[:, None], TURNS[1, d], d)
+        digits[rows] = d
     return _pack(base, digits, res)
 
 

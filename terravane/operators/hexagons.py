@@ -18,6 +18,11 @@ TILE_CELLS = 20_000
 DEGREE_M = np.pi * hexgrid.EARTH_M / 180
 
 
+def _once(udf):  # noqa: ANN001, ANN202 - a pandas UDF
+    """The UDF, which the optimiser must not copy: it puts a filter before what is exploded or tested, and would compute it twice."""
+    return udf.asNondeterministic()
+
+
 def cell_column(lat: Column, lon: Column, level: int = 9) -> Column:
     """Hexadecimal cell of a position; null for missing or non-finite ones."""
     if not 0 <= level <= 15:
@@ -54,7 +59,7 @@ def cell_polygons(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
             out.append([[{"lon": float(x), "lat": float(y)} for y, x in edge]])
         return pd.Series(out)
 
-    rows = df.select(outline(F.col(f"`{column}`").cast("string")).alias("rings"), text_map(df, keep).alias("props"))
+    rows = df.select(_once(outline)(F.col(f"`{column}`").cast("string")).alias("rings"), text_map(df, keep).alias("props"))
     return with_centres(rows.filter(F.col("rings").isNotNull()))
 
 
@@ -129,7 +134,7 @@ def uniform_coverage(df: DataFrame, kind: Kind, level: int = 9) -> DataFrame:
                     out[row] = [format(c, "x") for c in sorted(near)]
             return out
 
-        cells = keyed.withColumn("_cells", around("lat", "lon", "radius")).select("_p", F.explode("_cells").alias("_hash"))
+        cells = keyed.withColumn("_cells", _once(around)("lat", "lon", "radius")).select("_p", F.explode("_cells").alias("_hash"))
     else:
 
         @F.pandas_udf("array<string>")
@@ -137,7 +142,7 @@ def uniform_coverage(df: DataFrame, kind: Kind, level: int = 9) -> DataFrame:
             rows = zip(map(split_rings, lon, lat, n), map(_box, tx, ty, size))
             return pd.Series([[format(c, "x") for c in _fill(rings, level, box).tolist()] for rings, box in rows])
 
-        cells = _tiles(keyed, level).withColumn("_cells", filled(*flat_rings(), "_tx", "_ty", "_size")).select("_p", F.explode("_cells").alias("_hash"))
+        cells = _tiles(keyed, level).withColumn("_cells", _once(filled)(*flat_rings(), "_tx", "_ty", "_size")).select("_p", F.explode("_cells").alias("_hash"))
     return cells.distinct().select(F.from_json("_p", "map<string,string>").alias("props"), "_hash")
 
 
@@ -237,7 +242,7 @@ def compact_coverage(polygons: DataFrame, low: int = 1, high: int = 9) -> DataFr
         rows = zip(map(split_rings, lon, lat, n), map(_box, tx, ty, size))
         return pd.Series([[{"h": format(c, "x"), "l": level} for c, level in _Compact(rings, low).cells(high, box)] for rings, box in rows])
 
-    tiled = _tiles(keyed, high).withColumn("_cells", covered(*flat_rings(), "_tx", "_ty", "_size"))
+    tiled = _tiles(keyed, high).withColumn("_cells", _once(covered)(*flat_rings(), "_tx", "_ty", "_size"))
     cells = tiled.select("_p", "_parent", F.explode("_cells").alias("c"))
     cells = cells.select("_p", "_parent", F.col("c.h").alias("_hash"), F.col("c.l").alias("_level")).distinct()
     return cells.select(F.from_json("_p", "map<string,string>").alias("props"), "_hash", "_level", "_parent")

@@ -291,7 +291,7 @@ def road_polygons(lines: DataFrame, name: str, kind: str, width: str, multiplier
             out[row].append([_ring(y, x)])
         return pd.Series(out)
 
-    shaped = legs.withColumn("_shapes", outlines("r", "lat", "lon", "plat", "plon")).select("props", F.explode("_shapes").alias("rings"))
+    shaped = legs.withColumn("_shapes", outlines.asNondeterministic()("r", "lat", "lon", "plat", "plon")).select("props", F.explode("_shapes").alias("rings"))
     return with_centres(shaped)
 
 
