@@ -82,7 +82,8 @@ def p3_offset_histories(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_estimated_instants(spark: SparkSession, sf: str) -> DataFrame:
     """Zoneless texts converted with the estimated offsets of their clocks, as if no zone were stated anywhere."""
-    guessed = instants.with_estimated_offsets(_clocked(spark, sf), "clock", "_input_date", "loaded_at")
+    # Written once: planning a filter on the estimate down through the reading of the texts takes the optimiser a minute.
+    guessed = cut_lineage(instants.with_estimated_offsets(_clocked(spark, sf), "clock", "_input_date", "loaded_at"))
     bare = guessed.filter(F.col("_estimated_us").isNotNull()).withColumn("source_tz", F.lit(None).cast("string"))
     done = instants.normalise_instants(bare, "_input_date", "source_tz", "_epoch_time", "_output_date", "dest_tz", "_estimated_us")
     return done.select("rec_id", F.col("_utc_us").alias("utc_us"), F.col("_estimated_us").alias("offset_us"))

@@ -147,11 +147,15 @@ def test_queries_of_clocks_take_all_rows(spark, tmp_path):
 
 
 def test_estimates_of_the_table(spark):
-    """Offsets estimated from load times alone, against the stated zones of the same texts."""
-    sf = "/root/testdata/sf0.01"
+    """Offsets estimated from load times alone, against the stated zones of the same texts.
+
+    On sf0.1 99.3 % are right; with a tenth of the records, on sf0.01, 96.7 %, as clocks change zone between fewer of them.
+    """
+    sf = "/root/testdata/sf0.1"
     truth = {r["rec_id"]: r["utc_us"] for r in queries_data.p3_found(spark, sf).collect()}
     guessed = [(r["utc_us"], truth[r["rec_id"]]) for r in queries_data.p3_estimated_instants(spark, sf).collect() if r["rec_id"] in truth]
-    assert len(guessed) > 2000 and sum(a == b for a, b in guessed) > 0.97 * len(guessed)
+    right = sum(a == b for a, b in guessed)
+    assert len(guessed) > 20_000 and right > 0.98 * len(guessed)
 
 
 def test_offset_changes_within_a_day(spark):
