@@ -3,23 +3,31 @@
 ``prose`` masks what is not prose and finds paragraphs; ``tagger`` tags their characters boundary or inside and learns its
 weights. Nothing is labelled by hand and there are no word lists: the ends of paragraphs, read on into the next one, are
 the known boundaries, and what they have in common tells boundaries from other marks. For scripts without end marks the
-same is learned from letters alone, marks stripped.
+same is learned from letters alone, marks stripped. The model is learned from all texts: words are counted over all of them, and
+weights are learned in shards of a bounded size and mixed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import pickle
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm.prose import masked, units
-from terravane.llm.tagger import Lexicon, Model, learn
-from terravane.session import spread
+from terravane.llm.tagger import Learned, Lexicon, Model, Shard, chains_of, kept
+from terravane.session import cut_lineage, spread
 
-#: Documents that the model is trained on, at most.
-SAMPLE_DOCS = 1500
+#: Characters of a shard, in the mean: what one task learns from at a time.
+SHARD_CHARS = 10_000_000
+#: Words that a task counts before it sends the counts.
+WORDS = 500_000
+#: Weights are added up as whole numbers, so that the order does not count.
+_UNIT = 1e6
 
 
 def sentence_ends(text: str, model: Model) -> list[int]:
@@ -31,6 +39,8 @@ def sentence_ends(text: str, model: Model) -> list[int]:
 def sample_texts(documents: DataFrame, text: str, sample_docs: int) -> list[str]:
     """The different non-empty texts with the smallest hashes, ``sample_docs`` at most, whatever their order and layout.
 
+    For a look at some texts of a corpus; ``train`` learns from all.
+
     A share of the hashes is kept that should hold one and a half times the sample (all, if there are few documents);
     should it hold too few, which only many equal or empty texts bring about, a share four times as large is read.
     Equal texts count once, each partition's before they are sent.
@@ -47,21 +57,93 @@ def sample_texts(documents: DataFrame, text: str, sample_docs: int) -> list[str]
         share = min(1.0, 4 * share)
 
 
-def train(documents: DataFrame, text: str, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model learned from a sample of at most ``sample_docs`` documents, the documented bound of the training set.
+def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row a text with its chains, and rows of words with how often they stand at all and at ends of paragraphs."""
+    words, closing = Counter(), Counter()
+
+    def counted() -> pd.DataFrame:
+        out = pd.DataFrame({"word": list(words), "n": list(words.values()), "closing": [closing[w] for w in words], "h": None, "size": None, "chains": None})
+        words.clear()
+        closing.clear()
+        return out
+
+    for batch in batches:
+        packed = []
+        for h, text in zip(batch["h"], batch["t"]):
+            chains, known, paragraphs = chains_of(text)
+            Lexicon.count(paragraphs, words, closing)
+            if chains:
+                packed.append((None, None, None, h, len(text), pickle.dumps((chains, known), 5)))
+            if len(words) >= WORDS:
+                yield counted()
+        if packed:
+            yield pd.DataFrame(packed, columns=["word", "n", "closing", "h", "size", "chains"])
+    if words:
+        yield counted()
+
+
+def _lexicon(prepared: DataFrame) -> Lexicon:
+    """The words of all texts; only those that stand before full stops come to the driver."""
+    dot = F.col("word").endswith(".")
+    counts = [F.sum(F.when(dot, F.col("n")).otherwise(0)), F.sum(F.when(dot, 0).otherwise(F.col("n"))), F.sum("closing")]
+    words = prepared.filter("word IS NOT NULL").groupBy(F.when(dot, F.expr("left(word, length(word) - 1)")).otherwise(F.col("word")).alias("token"))
+    tokens = words.agg(*(c.alias(name) for c, name in zip(counts, ("dots", "bare", "closed"))))
+    totals = tokens.agg(*(F.coalesce(F.sum(name), F.lit(0)) for name in ("dots", "bare", "closed"))).first()
+    return Lexicon.of((tuple(r) for r in tokens.filter("dots > 0 AND dots + bare >= 3").toLocalIterator()), tuple(totals))
+
+
+def _mixed(prepared: DataFrame, shards: int, step: Callable[[Shard], Learned], lexicon: Lexicon) -> dict[str, float]:
+    """What ``step`` learns from every shard: the mean by feature, weighted by how often each shard saw it."""
+    shared = prepared.sparkSession.sparkContext.broadcast(vars(lexicon))
 
-    The sample does not depend on the order or layout of the documents; null and empty texts do not count. Without any
-    paragraph that is followed by another, nothing is learned, and only ends of paragraphs are boundaries.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for batch in batches for row in zip(batch["shard"], batch["chains"]))
+        for _, own in itertools.groupby(rows, key=lambda row: row[0]):
+            shard = Shard(Lexicon(**shared.value))
+            for _, packed in own:
+                shard.add(*pickle.loads(packed))
+            learned = step(shard)
+            if learned:
+                whole = [round(w * n * _UNIT) for w, n in learned.values()]
+                yield pd.DataFrame({"name": list(learned), "w": whole, "n": [n for _, n in learned.values()]})
+
+    placed = prepared.filter("chains IS NOT NULL").select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "size", "chains")
+    placed = placed.repartitionById(shards, "shard").sortWithinPartitions("shard", "h", "size")
+    learned = placed.select("shard", "chains").mapInPandas(run, "name string, w bigint, n bigint")
+    mean = learned.groupBy("name").agg((F.sum("w") / F.sum("n") / F.lit(_UNIT)).alias("w"))
+    return {name: w for name, w in mean.collect()}
+
+
+def train(documents: DataFrame, text: str, shard_chars: int = SHARD_CHARS) -> Model:
+    """A model learned from all texts of the documents.
+
+    Null and empty texts do not count, equal texts count once. Words are counted over all texts. Weights are learned in
+    shards by the texts' hashes, of some ``shard_chars`` characters each, and mixed: first those that label, then, with
+    the mixed ones, those of the model. So a task holds one shard, the driver what is learned, and the model does not
+    depend on the order or layout of the documents. Without any paragraph that is followed by another, nothing is
+    learned, and only ends of paragraphs are boundaries.
     """
-    return learn(sample_texts(documents, text, sample_docs))
+    context = documents.sparkSession.sparkContext
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
+    source = documents.select(F.col(f"`{text}`").alias("t")).filter(F.length("t") > 0)
+    texts = source.repartition(parts, "t").distinct().select(F.xxhash64("t").alias("h"), "t")
+    prepared = cut_lineage(texts.mapInPandas(_prepared, "word string, n bigint, closing bigint, h bigint, size bigint, chains binary"))
+    lexicon = _lexicon(prepared)
+    size = prepared.filter("chains IS NOT NULL").agg(F.sum("size")).first()[0] or 0
+    shards = -(-size // shard_chars) or 1
+    labeller = _mixed(prepared, shards, Shard.labeller, lexicon)
+    if not labeller:
+        return Model({}, lexicon)
+    shared = context.broadcast(labeller)
+    return Model(kept(_mixed(prepared, shards, lambda shard: shard.fitted(shared.value), lexicon)), lexicon)
 
 
 def split_sentences(documents: DataFrame, doc_id: str, text: str, model: Model | None = None) -> DataFrame:
     """``doc_id, sent_no, sent_end``: the sentences of every document, numbered from 1, ends in code points of the text.
 
     Null and empty texts, and documents without prose, have no sentences; whole texts are read whatever their length.
-    A document that comes twice gives its sentences twice; a null id stays null. Without ``model`` one is trained on a
-    bounded sample of the documents.
+    A document that comes twice gives its sentences twice; a null id stays null. Without ``model`` one is trained on
+    all the documents.
     """
     model = model or train(documents, text)
     shared = documents.sparkSession.sparkContext.broadcast((model.weights, vars(model.lexicon)))

@@ -39,7 +39,9 @@ _L = r"(?:[^\W\d_]|[̀-֑ͯ-ׇً-ٟऀ-ॣॱ-෿])"
 _TOKEN = re.compile(rf"[{UNMARKED}]{{1,3}}|[{_SOLE}]{{1,2}}|{_L}+|\d+|\S")
 _NEXT = re.compile(rf"[\s{VOID}{SKIP}{{]*")
 _OPENING = re.compile(rf"[{_OPENERS}\s{VOID}{SKIP}{{]*")
-_WORDS = re.compile(rf"{_L}+(?:[.\-]{_L}+)*(\.?)")
+_RUN = r"(?:[^\W\d_]++|[̀-֑ͯ-ׇً-ٟऀ-ॣॱ-෿]++)++"
+_WORDS = re.compile(rf"{_RUN}(?:[.\-]{_RUN})*+\.?")
+_TAIL = ")}'\"”»"
 _PROSE = re.compile(r"[^\W_]")
 _STRIPPED = " \n\t\r" + VOID + SKIP
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
@@ -76,6 +78,9 @@ def _token_before(unit: str, at: int) -> tuple[int, str]:
     while at and unit[at - 1] in _BLANK:
         at -= 1
     stop = at
+    space = unit.rfind(" ", max(0, at - 40), at) + 1
+    if 0 < space < at and unit[space:at].isalnum():
+        at = space  # a whole word: what the loop would find
     while at:
         c = unit[at - 1]
         if c.isalnum() or (c > "˿" and unicodedata.category(c)[0] == "M"):
@@ -134,8 +139,8 @@ def _space_key(unit: str, at: int, end: int, shut: bool) -> tuple:
     return "space", "", True, shut, unit[max(0, at - 3) : at], "", "", after, ""
 
 
-def events(unit: str, last: int) -> list[Event]:
-    """The events of a unit in order."""
+def events(unit: str, last: int, upto: int | None = None) -> list[Event]:
+    """The events of a unit in order; those past ``upto`` may be left out."""
     chain: list[Event] = []
     stack: list[str] = []
     pending: tuple[int, str] | None = None
@@ -145,6 +150,8 @@ def events(unit: str, last: int) -> list[Event]:
     for m in pattern.finditer(unit, 0, last):
         piece, at, stop = m.group(), m.start(), m.end()
         sign = piece[-1]
+        if upto is not None and at > upto and sign != "»":
+            break
         is_mark = sign in _MARKS
         if is_mark:
             if sign == ";":
@@ -195,55 +202,71 @@ def events(unit: str, last: int) -> list[Event]:
     return chain
 
 
+_GAPS = "0000111222222333333333333"
+
+
 def _gap(n: int) -> str:
     """Class of the distance between two boundaries or candidates."""
-    return "0" if n <= 3 else "1" if n <= 6 else "2" if n <= 12 else "3" if n <= 24 else "4"
+    return "4" if n > 24 else _GAPS[n] if n > 0 else "0"
+
+
+#: Weights of the transitions after a distance: inside to inside, inside to boundary, boundary to inside, boundary to boundary.
+Turns = dict[str, tuple[float, float, float, float]]
 
 
 class Lexicon:
-    """How tokens stand in the sample, counted without any labels: before full stops, and before those at ends of paragraphs."""
+    """How tokens stand in the texts, counted without any labels: before full stops, and before those at ends of paragraphs.
 
-    def __init__(self, dotted: dict[str, int] | None = None, ends: dict[str, int] | None = None):
-        self.dotted, self.ends = dotted or {}, ends or {}
+    An occurrence says nothing about itself: ``ends`` leaves out one that does not end a paragraph, ``sure`` one that does.
+    """
+
+    def __init__(self, dotted: dict[str, int] | None = None, ends: dict[str, int] | None = None, sure: dict[str, int] | None = None):
+        self.dotted, self.ends, self.sure = dotted or {}, ends or {}, sure or {}
 
     @staticmethod
-    def of(paragraphs: Iterable[str]) -> Lexicon:
-        with_dot, bare, closing = Counter(), Counter(), Counter()
+    def count(paragraphs: Iterable[str], words: Counter, closing: Counter) -> None:
+        """Counts words, a full stop right after them included, and those with one that end a paragraph."""
         for unit in paragraphs:
-            for m in _WORDS.finditer(unit):
-                token = m.group()
-                if m.group(1):
-                    with_dot[token[:-1]] += 1
-                else:
-                    bare[token] += 1
-            tail = re.search(rf"({_L}+(?:[.\-]{_L}+)*)\.[)}}'\"”»]*$", unit)
-            if tail:
-                closing[tail.group(1)] += 1
-
-        def odds(yes: Counter, no: Counter, floor: int) -> dict[str, int]:
-            """Whole log-odds, within 3, of tokens seen often enough."""
-            a, b = sum(yes.values()) + 1, sum(no.values()) + 1
-            return {t: max(-3, min(3, round(log((yes[t] + 0.2) / a) - log((no[t] + 0.2) / b)))) for t in {*yes, *no} if yes[t] + no[t] >= floor}
-
-        inner = with_dot - closing
-        return Lexicon(
-            {t: v for t, v in odds(with_dot, bare, 3).items() if with_dot[t]},
-            {t: v for t, v in odds(closing, inner, 3).items() if with_dot[t]},
-        )
-
-
-def features(key: tuple, lexicon: Lexicon) -> list[str]:
-    """Names of the features of a boundary."""
+            found = _WORDS.findall(unit)
+            words.update(found)
+            if found and found[-1][-1] == "." and unit.rstrip(_TAIL).endswith(found[-1]):
+                closing[found[-1]] += 1
+
+    @staticmethod
+    def of(dotted: Iterable[tuple[str, int, int, int]], totals: tuple[int, int, int]) -> Lexicon:
+        """From every token seen before a full stop: how often before one, before none, before one that ends a paragraph.
+
+        ``totals`` are these counts of all tokens.
+        """
+
+        def odds(yes: int, no: int, a: int, b: int) -> int:
+            """Whole log-odds, within 3."""
+            return max(-3, min(3, round(log((yes + 0.2) / (a + 1)) - log((no + 0.2) / (b + 1)))))
+
+        dots, bare, closing = totals
+        out = Lexicon()
+        for token, d, n, c in dotted:  # tokens seen often enough
+            if d + n >= 3:
+                out.dotted[token] = odds(d, n, dots, bare)
+            if d > 3:
+                out.ends[token] = odds(c, max(d - c - 1, 0), closing, max(dots - closing - 1, 0))
+                out.sure[token] = odds(max(c - 1, 0), d - max(c, 1), max(closing - 1, 0), dots - closing)
+        return out
+
+
+def features(key: tuple, lexicon: Lexicon, sure: bool = False) -> list[str]:
+    """Names of the features of a boundary; ``sure`` if it is one that the lexicon counted as the end of a paragraph."""
     sign, closers, spaced, shut, word, further, opener, token, beyond = key
     if sign == "space":
         sides = ("T" if _IN_UNMARKED.match(word[-1:]) else _shape(word[-1:] or " ")) + ("T" if _IN_UNMARKED.match(token) else _shape(token or " "))
         return ["bs", f"s{sides}", f"sb{word}", f"sa{token}"]
     after, before = (opener and "o") + _shape(token) + beyond, _shape(word)
     lower = word.lower()
+    ends = lexicon.sure if sure and sign == "." else lexicon.ends
     place = f"{sign}{'s' if spaced else 't'}{'S' if shut else ''}{'c' if closers else ''}"
     out = [
         f"b{sign}", f"m{place}", f"a{place}|{after}", f"p{sign}{before}", f"P{sign}{before}|{after}", f"w{sign}{lower}", f"W{sign}{lower}|{after}",
-        f"n{token}", f"N{place}{token}", f"d{sign}{lexicon.dotted.get(word, 9)}", f"D{sign}{lexicon.ends.get(word, 9)}|{after}",
+        f"n{token}", f"N{place}{token}", f"d{sign}{lexicon.dotted.get(word, 9)}", f"D{sign}{ends.get(word, 9)}|{after}",
     ]
     if token[0] > "⿿":
         out += [f"n{token[0]}", f"N{place}{token[0]}"]
@@ -264,7 +287,7 @@ class Model:
         self.weights, self.lexicon = weights or {}, lexicon or Lexicon()
         self._memo: dict[tuple, float] = {}
         w = self.weights.get
-        self.turns = {(a, b, g): w(f"t{a}{b}{g}", 0.0) for a in (0, 1) for b in (0, 1) for g in "01234"}
+        self.turns: Turns = {g: tuple(w(f"t{a}{b}{g}", 0.0) for a in (0, 1) for b in (0, 1)) for g in "01234"}
 
     def score(self, key: tuple | None) -> float:
         """Log-odds of a boundary; certain at the unit's end, ruled out where a group closes without end mark."""
@@ -301,25 +324,43 @@ class Model:
         return found
 
 
-def viterbi(chain: list[Event], scores: list[float], turns: dict[tuple[int, int, str], float], fixed: dict[int, int] | None = None) -> list[int]:
+def viterbi(chain: list[Event], scores: list[float], turns: Turns, fixed: dict[int, int] | None = None) -> list[int]:
     """Best tags. States are 2 * mode + last tag; mode 0 outside, 1 in a group after which the sentence goes on, 2 in one
     that ends with it. A boundary in mode 1 is ruled out; a group left open at the unit's end rules nothing out."""
     best = [0.0, _NO, _NO, _NO, _NO, _NO]
-    back: list[list[int]] = []  # where each state came from: 8 * state before + tag
-    before, at_last = 0, -1000
+    back: list[list[int] | tuple[int, int]] = []  # where each state came from: 8 * state before + tag
+    at_last, grouped = -1000, False
     for k, ((kind, at, _), score) in enumerate(zip(chain, scores)):
-        new, step = [_NO] * 6, [0] * 6
         if kind == "open":
+            new, step = [_NO] * 6, [0] * 6
             for t in (0, 1):
                 for mode in (1, 2):  # from outside, or from a group whose outer end is missing
                     source = t if best[t] > _NO else 2 * mode + t
                     new[2 * mode + t], step[2 * mode + t] = best[source], 8 * source
-            best = new
+            best, grouped = new, True
             back.append(step)
             continue
-        gap = _gap(at - at_last)
+        turn = turns[_gap(at - at_last)]
         at_last = at
         must = fixed.get(k) if fixed else None
+        if not grouped:  # two states
+            b0, b1 = best[0], best[1]
+            n0 = n1 = _NO
+            from0, from1 = 0, 1
+            if must != 1:
+                n0, other = b0 + turn[0], b1 + turn[2]
+                if other > n0:
+                    n0, from0 = other, 8
+            if must != 0:
+                n1, other = b0 + score + turn[1], b1 + score + turn[3]
+                if other > n1:
+                    n1, from1 = other, 9
+            if n0 == n1 == _NO:  # fixed tags that the chain does not allow
+                n0, n1, from0, from1 = b0, b1, 0, 8
+            best = [n0, n1, _NO, _NO, _NO, _NO]
+            back.append((from0, from1))
+            continue
+        new, step = [_NO] * 6, [0] * 6
         for state in range(6):
             value = best[state]
             if value == _NO:
@@ -327,19 +368,19 @@ def viterbi(chain: list[Event], scores: list[float], turns: dict[tuple[int, int,
             mode, t = state >> 1, state & 1
             if must != 1 or (mode == 1 and kind == "cand"):
                 to = 0 if kind == "shut" else 2 * mode
-                stays = value + turns[t, 0, gap]
+                stays = value + turn[2 * t]
                 if kind == "shut" and mode == 2:
                     stays = _NO  # leaving a group that ends with its sentence is a boundary
                 if stays > new[to]:
                     new[to], step[to] = stays, 8 * state
             if mode != 1 and must != 0:
                 to = 1 if kind == "shut" else 2 * mode + 1
-                cuts = value + score + turns[t, 1, gap]
+                cuts = value + score + turn[2 * t + 1]
                 if cuts > new[to]:
                     new[to], step[to] = cuts, 8 * state + 1
         if max(new) == _NO:  # fixed tags that the chain does not allow
             new, step = list(best), [8 * s for s in range(6)]
-        best = new
+        best, grouped = new, max(new[2:]) > _NO
         back.append(step)
     state = max((0, 1, 4, 5, 2, 3), key=lambda s: best[s])
     out = [0] * len(chain)
@@ -363,25 +404,35 @@ def _joined(first: str, second: str) -> tuple[str, int]:
     return first + ("" if dense else " ") + second, len(first)
 
 
-def examples(texts: Iterable[str]) -> tuple[list[list[Event]], list[int], Lexicon]:
-    """Chains of the texts' paragraphs, each continued by the next one, and the place of the known boundary in each (-1: none).
+def chains_of(text: str) -> tuple[list[list[Event]], list[int], list[str]]:
+    """Chains of a text's paragraphs, each continued by the next one, the place of the known boundary in each (-1: none), the paragraphs.
 
     That the sentences of one paragraph end before the next begins is all that is known about boundaries.
     """
-    chains, known, paragraphs = [], [], []
+    chains, known = [], []
+    body, _ = masked(text)
+    parts = [u for u in (body[a:b].strip(_STRIPPED) for a, b in units(body)) if _PROSE.search(u)]
+    for first, second in zip(parts, parts[1:]):
+        both, joint = _joined(first, second)
+        chain = [e for e in events(both, len(both), joint) if e[1] <= joint]
+        at = next((k for k in range(len(chain) - 1, -1, -1) if chain[k][0] != "open" and chain[k][1] == joint and chain[k][2]), -1)
+        chains.append(chain)
+        known.append(at)
+    return chains, known, parts
+
+
+def examples(texts: Iterable[str]) -> tuple[list[list[Event]], list[int], Lexicon]:
+    """Chains and known boundaries of all texts, and the lexicon of their paragraphs."""
+    chains, known = [], []
+    words, closing = Counter(), Counter()
     for text in texts:
-        body, _ = masked(text)
-        parts = [u for u in (body[a:b].strip(_STRIPPED) for a, b in units(body)) if _PROSE.search(u)]
-        paragraphs += parts
-        for first, second in zip(parts, [*parts[1:], ""]):
-            if not second:
-                continue
-            both, joint = _joined(first, second)
-            chain = [e for e in events(both, len(both)) if e[1] <= joint]
-            at = next((k for k in range(len(chain) - 1, -1, -1) if chain[k][0] != "open" and chain[k][1] == joint and chain[k][2]), -1)
-            chains.append(chain)
-            known.append(at)
-    return chains, known, Lexicon.of(paragraphs)
+        own, at, paragraphs = chains_of(text)
+        chains += own
+        known += at
+        Lexicon.count(paragraphs, words, closing)
+    dotted = [(w[:-1], n, words[w[:-1]], closing[w]) for w, n in words.items() if w[-1] == "."]
+    dots = sum(n for _, n, _, _ in dotted)
+    return chains, known, Lexicon.of(dotted, (dots, words.total() - dots, closing.total()))
 
 
 class _Rows:
@@ -408,18 +459,18 @@ class _Rows:
 
 
 def _told_apart(rows: _Rows, known: np.ndarray, other: np.ndarray, share: float = 40.0, ridge: float = 1.0) -> np.ndarray:
-    """Log-odds, by row, that an event is one of the known boundaries and not one of the others.
+    """Weights of features whose sum is the log-odds that an event is one of the known boundaries and not one of the others.
 
     ``known`` and ``other`` count by fold how often each distinct event is of either kind; known ones weigh ``share``
     times as much in all, so where both kinds are alike the score is well above 0, and it is below where the others hold
-    what known boundaries do not show. The score is the mean over regressions that each leave one fold out, so few of
+    what known boundaries do not show. The weights are the mean over regressions that each leave one fold out, so few of
     them know an event that is rare.
     """
-    out = np.zeros(known.shape)
+    out = np.zeros(rows.size)
     for fold in range(known.shape[1]):
         yes, no = (counts.sum(axis=1) - counts[:, fold] for counts in (known, other))
-        out[:, fold] = rows.scores(rows.regression(yes * (share * no.sum() / max(yes.sum(), 1.0)), no, ridge))
-    return out.mean(axis=1)
+        out += rows.regression(yes * (share * no.sum() / max(yes.sum(), 1.0)), no, ridge)
+    return out / known.shape[1]
 
 
 #: Features of two tokens, too rare to label by.
@@ -428,104 +479,156 @@ _PAIRED = "NWFC"
 STEP, TURN_STEP = 0.3, 0.05
 #: Features that name tokens.
 _TOKENS = "wnfNWFC"
-#: Folds of the sample, each left out of one regression.
+#: Folds of a shard, each left out of one regression.
 FOLDS = 3
 
+#: Learned weights by the name of the feature, each with how often the feature was seen.
+Learned = dict[str, tuple[float, int]]
 
-def learn(texts: Iterable[str], rounds: int = 3) -> Model:
-    """A model learned from texts alone: no labels, no word lists.
+
+class Shard:
+    """Chains that are learned from together, their distinct events as rows of feature numbers.
 
     First known boundaries (ends of paragraphs, continued by the next) are told apart from other events by a logistic
-    regression, which labels all events. Then weights, started from a regression on these labels, and transitions are
-    learned by an averaged structured perceptron: every chain is decoded with its labels and without, and features move
-    by what differs. Labels inside a group that
-    does not end with its sentence give way to the chain.
+    regression, which labels all events (``labeller``). Then weights, started from a regression on these labels, and
+    transitions are learned by an averaged structured perceptron (``fitted``): every chain is decoded with its labels and
+    without, and features move by what differs. Labels inside a group that does not end with its sentence give way to the
+    chain. What shards learned is mixed between the two steps and after them: the mean by feature, weighted by how often
+    each shard saw it.
     """
-    chains, known, lexicon = examples(texts)
-    names: dict[str, int] = {}
-    places: dict[tuple, int] = {}
-    rows: list[list[int]] = []
-    plain: list[list[int]] = []
-    tally: Counter = Counter()
-    for c, (chain, at) in enumerate(zip(chains, known)):
-        for k, (kind, _, key) in enumerate(chain):
-            if kind != "open" and key:
-                if key not in places:
-                    places[key] = len(rows)
-                    rows.append([names.setdefault(f, len(names)) for f in features(key, lexicon)])
-                    plain.append([i for f, i in zip(features(key, lexicon), rows[-1]) if f[0] not in _PAIRED])
-                tally[places[key], c % FOLDS, k == at] += 1
-    counts = np.zeros((2, len(rows), FOLDS))
-    for (place, fold, sure), n in tally.items():
-        counts[int(sure), place, fold] = n
-    if not counts[1].any():
-        return Model({}, lexicon)
-    said = _told_apart(_Rows(plain, len(names)), counts[1], counts[0]) > 0
-    labels: list[dict[int, int]] = []
-    for chain, at in zip(chains, known):
-        labels.append({k: int(k == at or said[places[key]]) for k, (kind, _, key) in enumerate(chain) if kind != "open" and key})
-    for chain, tags in zip(chains, labels):  # what lies in a group whose end is inside is inside
-        opened = None
-        for k, (kind, _, key) in enumerate(chain):
-            if kind == "open":
-                opened = k
-            elif kind == "shut" and opened is not None:
-                if not tags.get(k):
-                    tags.update({j: 0 for j in range(opened, k) if j in tags})
-                opened = None
-    tagged = np.zeros((2, len(rows)))
-    for chain, tags in zip(chains, labels):
-        for k, tag in tags.items():
-            tagged[tag, places[chain[k][2]]] += 1
-    first = _Rows(rows, len(names)).regression(tagged[1], tagged[0], 0.3)
-    return _perceptron(chains, labels, {key: rows[place] for key, place in places.items()}, names, first.tolist(), lexicon, rounds)
-
-
-def _perceptron(
-    chains: list[list[Event]], labels: list[dict[int, int]], memo: dict[tuple, list[int]], names: dict[str, int], first: list[float], lexicon: Lexicon, rounds: int
-) -> Model:
-    turns = {(a, b, g): names.setdefault(f"t{a}{b}{g}", len(names)) for a in (0, 1) for b in (0, 1) for g in "01234"}
-    weights, sums = first + [0.0] * len(turns), [0.0] * len(names)
-    step = 1
-
-    def move(i: int, by: float) -> None:
-        weights[i] += by
-        sums[i] += step * by
-
-    def walked(chain: list[Event], tags: list[int]) -> Counter:
-        found: Counter = Counter()
-        last, at_last = 0, -1000
-        for (kind, at, _), tag in zip(chain, tags):
-            if kind != "open":
-                found[turns[last, tag, _gap(at - at_last)]] += 1
-                last, at_last = tag, at
-        return found
 
-    # In half of the visits an event hides its tokens, so that shapes and marks are learned for tokens never seen.
-    hidden = {i for f, i in names.items() if f[0] in _TOKENS}
-    shapes = {key: [i for i in ids if i not in hidden] for key, ids in memo.items()}
-    order = np.random.default_rng(1)
-    for _ in range(rounds):
-        for c in order.permutation(len(chains)).tolist():
-            chain = chains[c]
-            if not chain:
-                continue
-            used = [(shapes if hide else memo).get(key, []) for (_, _, key), hide in zip(chain, (order.random(len(chain)) < 0.5).tolist())]
-            scores = [_NO if not key else sum([weights[i] for i in ids]) for (_, _, key), ids in zip(chain, used)]
-            now = {t: weights[i] for t, i in turns.items()}
-            got = viterbi(chain, scores, now)
-            if all(got[k] == tag for k, tag in labels[c].items()):
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.names: dict[str, int] = {}
+        self.places: dict[tuple[tuple, bool], int] = {}
+        self.rows: list[list[int]] = []
+        self.plain: list[list[int]] = []
+        self.chains: list[list[tuple[str, int, int]]] = []  # as events, with the row of the event or -1
+        self.known: list[int] = []
+
+    def add(self, chains: list[list[Event]], known: list[int]) -> None:
+        for chain, sure in zip(chains, known):
+            self.chains.append([(kind, at, self._place(key, k == sure) if kind != "open" and key else -1) for k, (kind, at, key) in enumerate(chain)])
+        self.known += known
+
+    def _place(self, key: tuple, sure: bool) -> int:
+        place = self.places.get((key, sure))
+        if place is None:
+            place = self.places[key, sure] = len(self.rows)
+            found = features(key, self.lexicon, sure)
+            self.rows.append([self.names.setdefault(f, len(self.names)) for f in found])
+            self.plain.append([i for f, i in zip(found, self.rows[-1]) if f[0] not in _PAIRED])
+        return place
+
+    def _learned(self, rows: _Rows, weights: np.ndarray, tally: np.ndarray) -> Learned:
+        seen = np.bincount(rows.flat, weights=tally[rows.row], minlength=rows.size).astype(int).tolist()
+        return {f: (w, n) for f, w, n in zip(self.names, weights.tolist(), seen) if n}
+
+    def labeller(self) -> Learned:
+        """What tells known boundaries apart; empty if none is known."""
+        size, at = len(self.rows), []
+        for c, (chain, sure) in enumerate(zip(self.chains, self.known)):
+            at += [((k == sure) * size + place) * FOLDS + c % FOLDS for k, (_, _, place) in enumerate(chain) if place >= 0]
+        counts = np.bincount(np.array(at, dtype=np.int64), minlength=2 * size * FOLDS).astype(float).reshape(2, size, FOLDS)
+        if not counts[1].any():
+            return {}
+        plain = _Rows(self.plain, len(self.names))
+        return self._learned(plain, _told_apart(plain, counts[1], counts[0]), counts.sum(axis=(0, 2)))
+
+    def _labels(self, labeller: dict[str, float]) -> list[dict[int, int]]:
+        """Tags by event of each chain."""
+        said = (_Rows(self.plain, len(self.names)).scores(np.array([labeller.get(f, 0.0) for f in self.names])) > 0).tolist()
+        labels = []
+        for chain, sure in zip(self.chains, self.known):
+            tags = {k: int(k == sure or said[place]) for k, (_, _, place) in enumerate(chain) if place >= 0}
+            opened = None
+            for k, (kind, _, _) in enumerate(chain):  # what lies in a group whose end is inside is inside
+                if kind == "open":
+                    opened = k
+                elif kind == "shut" and opened is not None:
+                    if not tags.get(k):
+                        tags.update({j: 0 for j in range(opened, k) if j in tags})
+                    opened = None
+            labels.append(tags)
+        return labels
+
+    def fitted(self, labeller: dict[str, float], rounds: int = 3) -> Learned:
+        """Weights of features and transitions learned from the labels."""
+        if not self.rows:
+            return {}
+        labels = self._labels(labeller)
+        at = [tag * len(self.rows) + chain[k][2] for chain, tags in zip(self.chains, labels) for k, tag in tags.items()]
+        tagged = np.bincount(np.array(at, dtype=np.int64), minlength=2 * len(self.rows)).astype(float).reshape(2, -1)
+        rows = _Rows(self.rows, len(self.names))
+        weights = self._perceptron(labels, rows.regression(tagged[1], tagged[0], 0.3).tolist(), rounds)
+        out = self._learned(rows, np.array(weights[: rows.size]), tagged.sum(axis=0))
+        return out | {f: (w, len(at)) for f, w in zip(_TURNED, weights[rows.size :])}
+
+    def _perceptron(self, labels: list[dict[int, int]], first: list[float], rounds: int) -> list[float]:
+        """Mean weights of the features, then of the transitions, over all visits."""
+        size = len(first)
+        turns = {(a, b, g): size + i for i, (a, b, g) in enumerate((a, b, g) for a in (0, 1) for b in (0, 1) for g in "01234")}
+        weights, sums = first + [0.0] * len(turns), [0.0] * (size + len(turns))
+        step = 1
+
+        def move(i: int, by: float) -> None:
+            weights[i] += by
+            sums[i] += step * by
+
+        def walked(chain: list[tuple[str, int, int]], tags: list[int]) -> Counter:
+            found: Counter = Counter()
+            last, at_last = 0, -1000
+            for (kind, at, _), tag in zip(chain, tags):
+                if kind != "open":
+                    found[turns[last, tag, _gap(at - at_last)]] += 1
+                    last, at_last = tag, at
+            return found
+
+        # In half of the visits an event hides its tokens, so that shapes and marks are learned for tokens never seen.
+        hidden = {i for f, i in self.names.items() if f[0] in _TOKENS}
+        by_hidden = (self.rows, [[i for i in ids if i not in hidden] for ids in self.rows])
+        order = np.random.default_rng(1)
+        now: Turns = {}
+        for _ in range(rounds):
+            for c in order.permutation(len(self.chains)).tolist():
+                chain = self.chains[c]
+                if not chain:
+                    continue
+                used = [by_hidden[hide][place] if place >= 0 else [] for (_, _, place), hide in zip(chain, (order.random(len(chain)) < 0.5).tolist())]
+                scores = [sum([weights[i] for i in ids]) if ids else _NO for ids in used]
+                now = now or {g: tuple(weights[turns[a, b, g]] for a in (0, 1) for b in (0, 1)) for g in "01234"}
+                got = viterbi(chain, scores, now)
+                if all([got[k] == tag for k, tag in labels[c].items()]):
+                    step += 1
+                    continue
+                want = viterbi(chain, scores, now, labels[c])
+                for ids, a, b in zip(used, want, got):
+                    if a != b:
+                        for i in ids:
+                            move(i, STEP if a else -STEP)
+                gold, guess = walked(chain, want), walked(chain, got)
+                for i in {*gold, *guess}:
+                    if gold[i] != guess[i]:
+                        move(i, TURN_STEP * (gold[i] - guess[i]))
                 step += 1
-                continue
-            want = viterbi(chain, scores, now, labels[c])
-            for ids, a, b in zip(used, want, got):
-                if a != b:
-                    for i in ids:
-                        move(i, STEP if a else -STEP)
-            gold, guess = walked(chain, want), walked(chain, got)
-            for i in {*gold, *guess}:
-                if gold[i] != guess[i]:
-                    move(i, TURN_STEP * (gold[i] - guess[i]))
-            step += 1
-    mean = {name: weights[i] - sums[i] / step for name, i in names.items()}
-    return Model({name: round(w, 4) for name, w in mean.items() if abs(w) > 1e-3}, lexicon)
+                now = {}
+        return [w - s / step for w, s in zip(weights, sums)]
+
+
+_TURNED = [f"t{a}{b}{g}" for a in (0, 1) for b in (0, 1) for g in "01234"]
+
+
+def kept(weights: dict[str, float]) -> dict[str, float]:
+    """Weights as a model holds them: rounded, without those of next to nothing."""
+    return {name: round(w, 4) for name, w in weights.items() if abs(w) > 1e-3}
+
+
+def learn(texts: Iterable[str], rounds: int = 3) -> Model:
+    """A model learned from texts alone, as one shard: no labels, no word lists."""
+    chains, known, lexicon = examples(texts)
+    shard = Shard(lexicon)
+    shard.add(chains, known)
+    labeller = shard.labeller()
+    if not labeller:
+        return Model({}, lexicon)
+    return Model(kept({f: w for f, (w, _) in shard.fitted({f: w for f, (w, _) in labeller.items()}, rounds).items()}), lexicon)

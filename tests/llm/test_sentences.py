@@ -131,6 +131,27 @@ def test_sample_does_not_depend_on_partitions(spark):
     assert train(one.limit(0), "text").weights == {}
 
 
+def test_all_texts_are_learned_from(spark):
+    """An abbreviation that only texts beyond the 1,500 of the smallest hashes show is learned, in one shard or in several, whatever the layout."""
+    rng = random.Random(3)
+    nouns = ["lattice", "kernel", "membrane", "estimator", "reactor", "sensor"]
+    made = lambda: f"The {rng.choice(nouns)} was measured by qrz. Smith in blv. {rng.randint(1, 99)} of the {rng.choice(nouns)}."
+    plain = lambda: f"We saw that the {rng.choice(nouns)} drifts in {rng.randint(1, 99)} of them."
+    text = lambda kinds: "\n\n".join(" ".join(rng.choice(kinds)() for _ in range(4)) for _ in range(3))
+    usual, others = [text([plain]) for _ in range(1600)], [text([made, plain]) for _ in range(4000)]
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in usual + others], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    bound = sorted(hashes[t] for t in set(usual))[1500]
+    texts = usual + [t for t in others if hashes[t] > bound]
+    assert len(texts) > 1700
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    case, ends = _cut("The kernel was measured by qrz. Smith in blv. 7 of the sensor.| We saw that the lattice drifts in 5 of them.| It is so.")
+    for shard_chars in (10**9, 200_000):
+        model = train(docs, "text", shard_chars)
+        assert sentence_ends(case, model) == ends
+    copies = spark.createDataFrame([(t,) for t in texts[::-1] + texts[:90] + [None, ""] * 9], "text string").repartition(7)
+    assert train(copies, "text", 200_000).weights == model.weights
+
+
 THAI = "ค่าเฉลี่ยคือ 2.5 หน่วย งานวิจัยนี้วัดผล รูปที่ 8 แสดง"
 #: Words of Lao, a script that this project's data do not hold.
 LAO = ["ການວິໄຈ", "ວັດແທກ", "ຄວາມຖີ່", "ຜົນໄດ້ຮັບ", "ສອດຄ່ອງ", "ກັບ", "ແບບຈຳລອງ"]
