@@ -38,7 +38,7 @@ _COMMANDS = re.compile(
 )
 _FILL = {"note": NOTE, "ref": REFERENCE, "label": VOID, "head": BREAK, "alone": BREAK, "env": BREAK}
 _LABEL = re.compile(r"\s*\\label\{[^{}]*\}")
-_PARTS = re.compile(r"\x01+|\n[ \t\r]*(?:\n[ \t\r]*)+")
+_PARTS = re.compile(r"\x01\x01*|\n[ \t\r]*\n[ \t\r\n]*")
 
 
 def _fill(m: re.Match) -> str:

@@ -15,11 +15,13 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable
+from functools import cached_property
+from itertools import chain as laid
 from math import log
 
 import numpy as np
 
-from terravane.llm.prose import FORMULA, NOTE, REFERENCE, SKIP, VOID, masked, units
+from terravane.llm.prose import BREAK, FORMULA, NOTE, REFERENCE, SKIP, VOID, masked, units
 
 # End marks of scripts, scripts without them (letters and vowel signs), quotes and brackets in pairs.
 END_MARKS = ".!?…。！？｡।॥؟۔։።፧᙮᠃᠉။༎༑។៕꓿᱾᱿‼⁇⁈⁉﹒﹗"
@@ -29,26 +31,46 @@ _CLOSING = frozenset("''|”|»|›|」|』|)|）|]|】|》".split("|"))
 _OPENERS = "“„«(\"`¿¡[‹「『（【《"
 _BLANK = " \n\t\r\xa0 " + VOID + SKIP
 _SOLE = "぀-ヿ㐀-鿿"
-_TURNS = "``|''|[\"“”„«»‹›「」『』()（）\\[\\]【】《》}'’]"
-_EVENT = re.compile(f"[{END_MARKS};]+|{_TURNS}")
-_EVENT_UNMARKED = re.compile(f"[{END_MARKS};]+|{_TURNS}|(?<=[{UNMARKED}])[ \n]+(?=\\S)|(?<=\\S)[ \n]+(?=[{UNMARKED}])")
+# All begin with one set of characters, which the search then skips to: marks in a run, two of ` or ', or one other sign.
+_SIGNS = "\"“”„«»‹›「」『』()（）\\[\\]【】《》}'’"
+_EVENT = re.compile(f"[{END_MARKS};`{_SIGNS}](?:(?<=[{END_MARKS};])[{END_MARKS};]*|(?<=`)`|(?<=')'|(?<!`))")
+_EVENT_UNMARKED = re.compile(f"[{END_MARKS};]+|``|''|[{_SIGNS}]|(?<=[{UNMARKED}])[ \n]+(?=\\S)|(?<=\\S)[ \n]+(?=[{UNMARKED}])")
 _IN_UNMARKED = re.compile(f"[{UNMARKED}]")
 _MARKS = frozenset(END_MARKS + ";")
 # Letters and the marks that Indic and other scripts set on them.
-_L = r"(?:[^\W\d_]|[̀-֑ͯ-ׇً-ٟऀ-ॣॱ-෿])"
-_TOKEN = re.compile(rf"[{UNMARKED}]{{1,3}}|[{_SOLE}]{{1,2}}|{_L}+|\d+|\S")
-_NEXT = re.compile(rf"[\s{VOID}{SKIP}{{]*")
-_OPENING = re.compile(rf"[{_OPENERS}\s{VOID}{SKIP}{{]*")
+_L = r"(?:[^\W\d_]++|[̀-֑ͯ-ׇً-ٟऀ-ॣॱ-෿]++)++"
 _RUN = r"(?:[^\W\d_]++|[̀-֑ͯ-ׇً-ٟऀ-ॣॱ-෿]++)++"
+_TOKEN = re.compile(rf"[{UNMARKED}]{{1,3}}|[{_SOLE}]{{1,2}}|{_L}|\d+|\S")
+_NEXT = re.compile(rf"[\s{VOID}{SKIP}{{]*")
+#: What follows a mark: blanks, openers, a token.
+_AHEAD = re.compile(rf"({_NEXT.pattern}+)(?:([{_OPENERS}])[{_OPENERS}\s{VOID}{SKIP}{{]*+)?({_TOKEN.pattern})?")
 _WORDS = re.compile(rf"{_RUN}(?:[.\-]{_RUN})*+\.?")
+
+
+def _as_set(pattern: str) -> str:
+    """A set of the characters below U+10000 that the pattern matches: sets are searched by table."""
+    found = re.compile(pattern).findall("".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x10000))))
+    codes = sorted(ord(c) for piece in found for c in piece)
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    stops = [c for c, after in zip(codes, [*codes[1:], -2]) if c + 1 != after]
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, stops)) + "]"
+
+
+#: As ``_WORDS``, for texts without characters beyond U+FFFF.
+_SET = _as_set(_RUN)
+_COMMON_WORDS = re.compile(f"{_SET}++(?:[.\\-]{_SET}++)*+\\.?")
+_UNCOMMON = re.compile("[\U00010000-\U0010ffff]")
 _TAIL = ")}'\"”»"
 _PROSE = re.compile(r"[^\W_]")
 _STRIPPED = " \n\t\r" + VOID + SKIP
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _NO = float("-inf")
 
-#: An event: kind (``cand``, ``open``, ``shut``), position (of a cand or shut: past its last character), key of its features.
-Event = tuple[str, int, "tuple | None"]
+#: An event: kind (``cand``, ``open``, ``shut``), position (of a cand or shut: past its last character), key of its features:
+#: what they are made of, with signs of breaks between, which no unit holds.
+Event = tuple[str, int, "str | None"]
+#: A unit as it is decoded: where it begins in the text, its length, past its last letter or formula, past all but notes, its events.
+Unit = tuple[int, int, int, int, list[Event]]
 
 
 def _shape(token: str) -> str:
@@ -78,10 +100,11 @@ def _token_before(unit: str, at: int) -> tuple[int, str]:
     while at and unit[at - 1] in _BLANK:
         at -= 1
     stop = at
-    space = unit.rfind(" ", max(0, at - 40), at) + 1
-    if 0 < space < at and unit[space:at].isalnum():
+    space = unit.rfind(" ", at - 40 if at > 40 else 0, at) + 1
+    whole = 0 < space < at and unit[space:at].isalnum()
+    if whole:
         at = space  # a whole word: what the loop would find
-    while at:
+    while at and not whole:
         c = unit[at - 1]
         if c.isalnum() or (c > "˿" and unicodedata.category(c)[0] == "M"):
             at -= 1
@@ -97,17 +120,16 @@ def _token_before(unit: str, at: int) -> tuple[int, str]:
     return at, token
 
 
-def _key(unit: str, start: int, mark: str, end: int, last: int, shut: bool) -> tuple | None:
+def _key(unit: str, start: int, mark: str, end: int, last: int, shut: bool) -> str | None:
     """What the features of a boundary at a mark are made of; None at the end of the unit, where a sentence ends anyway."""
     if end >= last:
         return None
-    follow = _NEXT.match(unit, end).end()
+    blank, opener, token = (ahead := _AHEAD.match(unit, end)).groups("")
+    follow = ahead.end(1)
     if follow >= last:
         return None
     c = unit[follow]
-    at = _OPENING.match(unit, follow).end() if c in _OPENERS else follow
-    m = _TOKEN.match(unit, at)
-    token = m.group() if m else c
+    token = token or c
     beyond = ""
     if c == REFERENCE:  # what follows a citation right after the mark
         stop = follow
@@ -116,7 +138,7 @@ def _key(unit: str, start: int, mark: str, end: int, last: int, shut: bool) -> t
         stop = _NEXT.match(unit, stop).end()
         m = _TOKEN.match(unit, stop) if stop < last else None
         beyond = _shape(m.group()) if m else "e"
-    spaced = follow > end and any(ch in " \n\t\r\x00" for ch in unit[end:follow])
+    spaced = "s" if blank == " " or blank and not _SPACES.isdisjoint(blank) else ""
     begin, word = _token_before(unit, start)
     further = ""
     if len(word) <= 3 or "." in word or word[0].isdigit():
@@ -125,30 +147,38 @@ def _key(unit: str, start: int, mark: str, end: int, last: int, shut: bool) -> t
             further = "#"
         elif len(further) > 24:
             further = "&"
-    sign = mark[-1] + ("+" if len(mark) > 1 else "")
-    closers = unit[start + len(mark) : end].translate(_UNBLANK)
-    return sign, closers[-3:], spaced, shut, word if len(word) <= 24 else word[:1] + "&", further, c if at > follow else "", token if len(token) <= 24 else token[:1] + "&", beyond
+    sign = mark if len(mark) == 1 else mark[-1] + "+"
+    closers = unit[start + len(mark) : end].translate(_UNBLANK)[-3:] if end > start + len(mark) else ""
+    if len(word) > 24:
+        word = word[:1] + "&"
+    if len(token) > 24:
+        token = token[:1] + "&"
+    return f"{sign}{BREAK}{closers}{BREAK}{spaced}{BREAK}{'S' if shut else ''}{BREAK}{word}{BREAK}{further}{BREAK}{opener}{BREAK}{token}{BREAK}{beyond}"
 
 
+_SPACES = frozenset(" \n\t\r\x00")
 _UNBLANK = {ord(c): None for c in _BLANK}
 
 
-def _space_key(unit: str, at: int, end: int, shut: bool) -> tuple:
+def _space_key(unit: str, at: int, end: int) -> str:
     """The features of a space beside letters of a script without end marks: only the letters around it count."""
-    after = unit[end : end + 3]
-    return "space", "", True, shut, unit[max(0, at - 3) : at], "", "", after, ""
+    return BREAK.join(("space", "", "s", "", unit[max(0, at - 3) : at], "", "", unit[end : end + 3], ""))
+
 
+def events(unit: str, last: int, upto: int | None = None, marked: bool = False) -> tuple[list[Event], tuple[int, str] | None]:
+    """The events of a unit in order, and start and signs of the mark of the last one, if it is a mark that nothing follows.
 
-def events(unit: str, last: int, upto: int | None = None) -> list[Event]:
-    """The events of a unit in order; those past ``upto`` may be left out."""
+    Events past ``upto`` may be left out. ``marked``: the unit is known to hold no script without end marks.
+    """
     chain: list[Event] = []
     stack: list[str] = []
     pending: tuple[int, str] | None = None
     end, shut = 0, False
     greek: bool | None = None
-    pattern = _EVENT_UNMARKED if _IN_UNMARKED.search(unit) else _EVENT
+    pattern = _EVENT_UNMARKED if not marked and _IN_UNMARKED.search(unit) else _EVENT
     for m in pattern.finditer(unit, 0, last):
-        piece, at, stop = m.group(), m.start(), m.end()
+        piece = m[0]
+        at, stop = m.span()
         sign = piece[-1]
         if upto is not None and at > upto and sign != "»":
             break
@@ -190,16 +220,16 @@ def events(unit: str, last: int, upto: int | None = None) -> list[Event]:
             pending, end, shut = (at, piece), stop, False
         elif closes:
             if not stack:
-                chain.append(("shut", stop, None if stop >= last else ()))
+                chain.append(("shut", stop, None if stop >= last else ""))
         elif piece in _PAIRS:
             if not stack:
                 chain.append(("open", at, None))
             stack.append(piece)
         elif sign in " \n":
-            chain.append(("cand", at, _space_key(unit, at, stop, False)))
+            chain.append(("cand", at, _space_key(unit, at, stop)))
     if pending is not None:
         chain.append(("shut" if shut else "cand", end, _key(unit, pending[0], pending[1], end, last, shut)))
-    return chain
+    return chain, pending
 
 
 _GAPS = "0000111222222333333333333"
@@ -227,7 +257,7 @@ class Lexicon:
     def count(paragraphs: Iterable[str], words: Counter, closing: Counter) -> None:
         """Counts words, a full stop right after them included, and those with one that end a paragraph."""
         for unit in paragraphs:
-            found = _WORDS.findall(unit)
+            found = (_WORDS if _UNCOMMON.search(unit) else _COMMON_WORDS).findall(unit)
             words.update(found)
             if found and found[-1][-1] == "." and unit.rstrip(_TAIL).endswith(found[-1]):
                 closing[found[-1]] += 1
@@ -254,16 +284,31 @@ class Lexicon:
         return out
 
 
-def features(key: tuple, lexicon: Lexicon, sure: bool = False) -> list[str]:
-    """Names of the features of a boundary; ``sure`` if it is one that the lexicon counted as the end of a paragraph."""
-    sign, closers, spaced, shut, word, further, opener, token, beyond = key
+def features(key: str, lexicon: Lexicon, sure: bool = False, paired: bool = True) -> list[str]:
+    """Names of the features of a boundary; ``sure`` if it is one that the lexicon counted as the end of a paragraph.
+
+    Without ``paired`` those of two tokens are left out.
+    """
+    sign, closers, spaced, shut, word, further, opener, token, beyond = key.split(BREAK)
     if sign == "space":
         sides = ("T" if _IN_UNMARKED.match(word[-1:]) else _shape(word[-1:] or " ")) + ("T" if _IN_UNMARKED.match(token) else _shape(token or " "))
         return ["bs", f"s{sides}", f"sb{word}", f"sa{token}"]
     after, before = (opener and "o") + _shape(token) + beyond, _shape(word)
     lower = word.lower()
     ends = lexicon.sure if sure and sign == "." else lexicon.ends
-    place = f"{sign}{'s' if spaced else 't'}{'S' if shut else ''}{'c' if closers else ''}"
+    place = f"{sign}{spaced or 't'}{shut}{'c' if closers else ''}"
+    if not paired:
+        out = [
+            f"b{sign}", f"m{place}", f"a{place}|{after}", f"p{sign}{before}", f"P{sign}{before}|{after}", f"w{sign}{lower}",
+            f"n{token}", f"d{sign}{lexicon.dotted.get(word, 9)}", f"D{sign}{ends.get(word, 9)}|{after}",
+        ]
+        if token[0] > "⿿":
+            out.append(f"n{token[0]}")
+        if further:
+            out.append(f"f{further.lower()}|{before}")
+        if closers:
+            out.append(f"c{closers}|{after}")
+        return out
     out = [
         f"b{sign}", f"m{place}", f"a{place}|{after}", f"p{sign}{before}", f"P{sign}{before}|{after}", f"w{sign}{lower}", f"W{sign}{lower}|{after}",
         f"n{token}", f"N{place}{token}", f"d{sign}{lexicon.dotted.get(word, 9)}", f"D{sign}{ends.get(word, 9)}|{after}",
@@ -285,11 +330,12 @@ class Model:
 
     def __init__(self, weights: dict[str, float] | None = None, lexicon: Lexicon | None = None):
         self.weights, self.lexicon = weights or {}, lexicon or Lexicon()
-        self._memo: dict[tuple, float] = {}
+        self._memo: dict[str, float] = {}
         w = self.weights.get
         self.turns: Turns = {g: tuple(w(f"t{a}{b}{g}", 0.0) for a in (0, 1) for b in (0, 1)) for g in "01234"}
+        self._sway = sway(self.turns)
 
-    def score(self, key: tuple | None) -> float:
+    def score(self, key: str | None) -> float:
         """Log-odds of a boundary; certain at the unit's end, ruled out where a group closes without end mark."""
         if key is None:
             return 1e6
@@ -304,25 +350,110 @@ class Model:
             self._memo[key] = found
         return found
 
-    def tags(self, chain: list[Event], fixed: dict[int, int] | None = None) -> list[int]:
-        """The best tags (1: boundary) of the chain's events; ``fixed`` tags by event are kept where the chain allows them."""
-        return viterbi(chain, [self.score(key) if kind != "open" else 0.0 for kind, _, key in chain], self.turns, fixed)
-
-    def ends(self, unit: str) -> list[int]:
-        """Ends of the unit's sentences, relative to it. A unit without letters or digits holds none."""
-        last = len(unit.rstrip(_STRIPPED))
-        if not last or not _PROSE.search(unit):
-            return []
-        chain = events(unit, last)
+    def tags(self, chain: list[Event]) -> list[int]:
+        """The best tags (1: boundary) of the chain's events."""
+        memo = self._memo.get
+        scores = []
+        for kind, _, key in chain:
+            found = memo(key) if key else None
+            scores.append(0.0 if kind == "open" else self.score(key) if found is None else found)
+        return decoded(chain, scores, self.turns, self._sway, groups(chain))
+
+    def cuts(self, unit: Unit) -> list[int]:
+        """Ends of the unit's sentences, relative to it."""
+        _, last, prose, solid, chain = unit
         found = [event[1] for event, tag in zip(chain, self.tags(chain)) if tag] if chain else []
         if not found or found[-1] < last:
-            tail = unit[found[-1] if found else 0 : last]
-            if _PROSE.search(tail) or FORMULA in tail:
+            at = found[-1] if found else 0
+            if at < prose:
                 found.append(last)
-            elif found and not tail.strip(_STRIPPED + NOTE):
+            elif found and at >= solid:
                 found[-1] = last
         return found
 
+    def ends(self, unit: str) -> list[int]:
+        """Ends of the unit's sentences, relative to it. A unit without letters or digits holds none."""
+        last = len(unit.rstrip(_STRIPPED))
+        return self.cuts(_unit(unit, last, 0, events(unit, last)[0])) if last and _PROSE.search(unit) else []
+
+
+def _unit(unit: str, last: int, begin: int, chain: list[Event]) -> Unit:
+    """What is decoded of a unit that begins at ``begin`` and is blank from ``last`` on."""
+    prose = last
+    while prose and not (unit[prose - 1].isalnum() or unit[prose - 1] == FORMULA):
+        prose -= 1
+    return begin, last, prose, len(unit[:last].rstrip(_STRIPPED + NOTE)), chain
+
+
+def sway(turns: Turns) -> float:
+    """What transitions can add at most to the score of a tag, whatever the tags beside it: beyond it a score decides by itself."""
+    into = max(abs(t[2 * a + 1] - t[2 * a]) for t in turns.values() for a in (0, 1))
+    out = max(abs(t[2 + b] - t[b]) for t in turns.values() for b in (0, 1))
+    return into + out + 1e-6
+
+
+def groups(chain: list[Event]) -> list[tuple[int, int]]:
+    """Where groups open and shut in a chain; -1 for one that is not shut."""
+    found, opened = [], -1
+    for k, event in enumerate(chain):
+        if event[0] != "cand":
+            if event[0] == "open":
+                if opened >= 0:
+                    found.append((opened, -2))  # opened twice
+                opened = k
+            elif opened >= 0:
+                found.append((opened, k))
+                opened = -1
+            else:
+                found.append((k, -2))  # shut alone
+    if opened >= 0:
+        found.append((opened, -1))
+    return found
+
+
+def decoded(chain: list[Event], scores: list[float], turns: Turns, most: float, grouped: list[tuple[int, int]]) -> list[int]:
+    """The tags that ``viterbi`` finds, the sooner the more of the scores decide by themselves (are beyond ``most``).
+
+    Only runs of events between those are decoded. Nothing is a boundary in a group that does not end its sentence for
+    certain; one that surely does, or that is never shut, rules nothing out. Chains with other groups are left to ``viterbi``.
+    """
+    tags = [1 if s > most else 0 if s < -most else 2 for s in scores]
+    for opened, shut in grouped:
+        if shut == -1 or shut >= 0 and tags[shut] == 1:
+            tags[opened] = 3
+        elif shut >= 0 and (scores[shut] == _NO or tags[shut] == 0 and not any(tags[opened + 1 : shut])):
+            tags[opened : shut + 1] = [3] + [0] * (shut - opened)
+        else:
+            return viterbi(chain, scores, turns)
+    size, k = len(tags), 0
+    while 2 in tags:
+        k = first = tags.index(2, k)
+        last, at_last = 0, -1000
+        while first:
+            first -= 1
+            if tags[first] != 3:
+                last, at_last = tags[first], chain[first][1]
+                break
+        best, back, run = (_NO, 0.0) if last else (0.0, _NO), [], []
+        while k < size and tags[k] > 1:
+            if tags[k] == 2:
+                at, score = chain[k][1], scores[k]
+                t00, t01, t10, t11 = turns[_gap(at - at_last)]
+                at_last = at
+                n0, m0, n1, m1 = best[0] + t00, best[1] + t10, best[0] + score + t01, best[1] + score + t11
+                back.append((m0 > n0, m1 > n1))
+                best = (m0 if m0 > n0 else n0), (m1 if m1 > n1 else n1)
+                run.append(k)
+            k += 1
+        if k < size:
+            turn, following = turns[_gap(chain[k][1] - at_last)], tags[k]
+            best = best[0] + turn[following], best[1] + turn[2 + following]
+        state = int(best[1] > best[0])
+        for j, came in zip(reversed(run), reversed(back)):
+            tags[j] = state
+            state = int(came[state])
+    return [t & 1 if t < 3 else 0 for t in tags] if grouped else tags
+
 
 def viterbi(chain: list[Event], scores: list[float], turns: Turns, fixed: dict[int, int] | None = None) -> list[int]:
     """Best tags. States are 2 * mode + last tag; mode 0 outside, 1 in a group after which the sentence goes on, 2 in one
@@ -400,25 +531,69 @@ def _joined(first: str, second: str) -> tuple[str, int]:
         bare = first.rstrip(END_MARKS + _STRIPPED)
         if _IN_UNMARKED.match(bare[-1:]):
             first = bare
-    dense = bool(re.search("[\u2fff-\uffef][”’]?$", first)) and second[:1] > "\x7f"
-    return first + ("" if dense else " ") + second, len(first)
+    return first + ("" if _dense(first, second) else " ") + second, len(first)
+
+
+def _dense(first: str, second: str) -> bool:
+    """Whether paragraphs are joined without a space."""
+    return second[:1] > "\x7f" and bool(re.search("[\u2fff-\uffef][”’]?$", first[-2:]))
 
 
-def chains_of(text: str) -> tuple[list[list[Event]], list[int], list[str]]:
-    """Chains of a text's paragraphs, each continued by the next one, the place of the known boundary in each (-1: none), the paragraphs.
+def _continued(first: str, chain: list[Event], pending: tuple[int, str] | None, second: str, marked: bool) -> tuple[list[Event], int]:
+    """The chain of a paragraph continued by the next one, from its chain alone, and the place of the known boundary (-1: none).
+
+    What comes next shows in the last event only, but in rare cases, in which the joined text is read.
+    """
+    both, joint = _joined(first, second)
+    own = None
+    if not (
+        (not marked and _IN_UNMARKED.search(both))
+        or (";" in first and _GREEK.search(second) and not _GREEK.search(first))
+        or first[-1] in _OPENERS + "{"
+        or first[-1].isspace()
+        or second.lstrip()[:1] == "»"
+        or (_dense(first, second) and not (second[0].isalnum() and pending and chain[-1][1] == joint))
+        or [True for kind, _, key in chain[:-1] if (key is None or key[-1:] == "e") and kind != "open"]
+    ):
+        own = chain
+        kind, at, key = chain[-1] if chain else ("open", 0, None)
+        if kind != "open" and (key is None or key[-1:] == "e"):
+            if pending:
+                own = [*chain[:-1], (kind, at, _key(both, *pending, at, len(both), kind == "shut"))]
+            else:
+                own = [*chain[:-1], (kind, at, "")] if kind == "shut" and at == joint else None
+    if own is None:
+        own = [e for e in events(both, len(both), joint)[0] if e[1] <= joint]
+    if own and own[-1][1] == joint and own[-1][2]:
+        return own, len(own) - 1
+    return own, next((k for k in range(len(own) - 1, -1, -1) if own[k][0] != "open" and own[k][1] == joint and own[k][2]), -1)
+
+
+def read(text: str) -> tuple[list[Unit], list[tuple[list[Event], int]], list[str]]:
+    """The units of a text as they are decoded, chains to learn from (each paragraph continued by the next) with the place
+    of the known boundary in each (-1: none), and the paragraphs.
 
     That the sentences of one paragraph end before the next begins is all that is known about boundaries.
     """
-    chains, known = [], []
-    body, _ = masked(text)
-    parts = [u for u in (body[a:b].strip(_STRIPPED) for a, b in units(body)) if _PROSE.search(u)]
-    for first, second in zip(parts, parts[1:]):
-        both, joint = _joined(first, second)
-        chain = [e for e in events(both, len(both), joint) if e[1] <= joint]
-        at = next((k for k in range(len(chain) - 1, -1, -1) if chain[k][0] != "open" and chain[k][1] == joint and chain[k][2]), -1)
-        chains.append(chain)
-        known.append(at)
-    return chains, known, parts
+    body, start = masked(text)
+    marked = not _IN_UNMARKED.search(body)
+    found, alone, parts = [], [], []
+    for a, b in units(body):
+        whole = body[a:b]
+        if not _PROSE.search(whole):
+            continue
+        part = whole.lstrip(_STRIPPED)
+        begin = b - len(part)
+        part = part.rstrip(_STRIPPED)
+        chain, pending = events(part, len(part), marked=marked)
+        parts.append(part)
+        alone.append((chain, pending))
+        if len(part) < len(whole) and ((not marked and _IN_UNMARKED.search(part)) or (begin > a and any("^" in key for _, _, key in chain if key))):  # blanks before or after show in the keys
+            last = begin - a + len(part)
+            found.append(_unit(whole, last, start + a, events(whole, last)[0]))
+        else:
+            found.append(_unit(part, len(part), start + begin, chain))
+    return found, [_continued(first, *own, second, marked) for first, own, second in zip(parts, alone, parts[1:])], parts
 
 
 def examples(texts: Iterable[str]) -> tuple[list[list[Event]], list[int], Lexicon]:
@@ -426,9 +601,9 @@ def examples(texts: Iterable[str]) -> tuple[list[list[Event]], list[int], Lexico
     chains, known = [], []
     words, closing = Counter(), Counter()
     for text in texts:
-        own, at, paragraphs = chains_of(text)
-        chains += own
-        known += at
+        _, own, paragraphs = read(text)
+        chains += [chain for chain, _ in own]
+        known += [at for _, at in own]
         Lexicon.count(paragraphs, words, closing)
     dotted = [(w[:-1], n, words[w[:-1]], closing[w]) for w, n in words.items() if w[-1] == "."]
     dots = sum(n for _, n, _, _ in dotted)
@@ -439,19 +614,47 @@ class _Rows:
     """Distinct events as rows of feature numbers, laid end to end."""
 
     def __init__(self, rows: list[list[int]], size: int):
-        lengths = np.array([len(r) for r in rows])
-        self.flat, self.size = np.concatenate([np.array(r) for r in rows]), size
-        self.start, self.row = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(rows)), lengths)
+        self.lengths = lengths = np.array([len(r) for r in rows])
+        self.flat, self.size = np.fromiter(laid.from_iterable(rows), np.int64, int(lengths.sum())), size
+        self.start = np.cumsum(lengths) - lengths
+
+    @cached_property
+    def columns(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Rows from the longest on, and their features by column: sums run over rows side by side."""
+        order = np.argsort(-self.lengths, kind="stable")
+        start, lengths = self.start[order], self.lengths[order]
+        return order, [self.flat[start[: np.count_nonzero(lengths > k)] + k] for k in range(int(lengths[0]))]
+
+    @cached_property
+    def by_feature(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of every feature laid end to end, the features, where the rows of each start, and room for values."""
+        order = np.argsort(self.flat, kind="stable")
+        rows = np.repeat(np.arange(len(self.lengths)), self.lengths)[order]
+        return rows, *np.unique(self.flat[order], return_index=True), np.empty(len(rows))
 
     def scores(self, w: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(w[self.flat], self.start)
+        """Sums of the rows' weights."""
+        order, columns = self.columns
+        added = w.take(columns[0])
+        for column in columns[1:]:
+            added[: len(column)] += w.take(column)
+        out = np.empty_like(added)
+        out[order] = added
+        return out
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Sums of the rows' values by feature."""
+        out = np.zeros(self.size)
+        rows, present, start, room = self.by_feature
+        out[present] = np.add.reduceat(x.take(rows, out=room, mode="clip"), start)
+        return out
 
     def regression(self, yes: np.ndarray, no: np.ndarray, ridge: float, rounds: int = 120) -> np.ndarray:
         """Weights of a logistic regression of rows seen ``yes`` and ``no`` times: full-batch gradients, adaptive steps."""
-        w, first, second = np.zeros(self.size), np.zeros(self.size), np.zeros(self.size)
+        w, first, second = (np.zeros(self.size) for _ in range(3))
         for k in range(1, rounds + 1):
             p = 1.0 / (1.0 + np.exp(-np.clip(self.scores(w), -30, 30)))
-            gradient = np.bincount(self.flat, weights=(yes * (1.0 - p) - no * p)[self.row], minlength=self.size) - ridge * w
+            gradient = self.sums(yes * (1.0 - p) - no * p) - ridge * w
             first = 0.9 * first + 0.1 * gradient
             second = 0.99 * second + 0.01 * gradient**2
             w += 0.1 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-6)
@@ -486,6 +689,20 @@ FOLDS = 3
 Learned = dict[str, tuple[float, int]]
 
 
+class _Places(dict):
+    """The row of a key in a shard, made when first asked for; -1 where there are no features."""
+
+    def __init__(self, sure: bool, lexicon: Lexicon, names: dict[str, int], rows: list[list[int]], paired: bool):
+        super().__init__({None: -1, "": -1})
+        self.sure, self.lexicon, self.names, self.rows, self.paired = sure, lexicon, names, rows, paired
+
+    def __missing__(self, key: str) -> int:
+        self[key] = place = len(self.rows)
+        number, names = self.names.setdefault, self.names
+        self.rows.append([number(f, len(names)) for f in features(key, self.lexicon, self.sure, self.paired)])
+        return place
+
+
 class Shard:
     """Chains that are learned from together, their distinct events as rows of feature numbers.
 
@@ -497,50 +714,51 @@ class Shard:
     each shard saw it.
     """
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: Lexicon, paired: bool = True):
+        """Without ``paired`` features of two tokens are left out, which only ``labeller`` does without."""
         self.names: dict[str, int] = {}
-        self.places: dict[tuple[tuple, bool], int] = {}
         self.rows: list[list[int]] = []
-        self.plain: list[list[int]] = []
-        self.chains: list[list[tuple[str, int, int]]] = []  # as events, with the row of the event or -1
+        self.places = tuple(_Places(sure, lexicon, self.names, self.rows, paired) for sure in (False, True))  # of other events and of known boundaries
+        self.chains: list[list[Event]] = []
+        self.at: list[list[int]] = []  # by chain, the rows of its events, or -1
         self.known: list[int] = []
 
-    def add(self, chains: list[list[Event]], known: list[int]) -> None:
-        for chain, sure in zip(chains, known):
-            self.chains.append([(kind, at, self._place(key, k == sure) if kind != "open" and key else -1) for k, (kind, at, key) in enumerate(chain)])
-        self.known += known
-
-    def _place(self, key: tuple, sure: bool) -> int:
-        place = self.places.get((key, sure))
-        if place is None:
-            place = self.places[key, sure] = len(self.rows)
-            found = features(key, self.lexicon, sure)
-            self.rows.append([self.names.setdefault(f, len(self.names)) for f in found])
-            self.plain.append([i for f, i in zip(found, self.rows[-1]) if f[0] not in _PAIRED])
-        return place
+    def add(self, chains: Iterable[tuple[list[Event], int]]) -> None:
+        """Chains, each with the place of the known boundary in it."""
+        others, ends = self.places
+        for chain, sure in chains:
+            self.chains.append(chain)
+            self.known.append(sure)
+            if sure < 0:
+                self.at.append([others[key] for _, _, key in chain])
+            else:
+                self.at.append([others[key] for _, _, key in chain[:sure]] + [ends[chain[sure][2]]] + [others[key] for _, _, key in chain[sure + 1 :]])
 
     def _learned(self, rows: _Rows, weights: np.ndarray, tally: np.ndarray) -> Learned:
-        seen = np.bincount(rows.flat, weights=tally[rows.row], minlength=rows.size).astype(int).tolist()
+        seen = rows.sums(tally).astype(int).tolist()
         return {f: (w, n) for f, w, n in zip(self.names, weights.tolist(), seen) if n}
 
     def labeller(self) -> Learned:
         """What tells known boundaries apart; empty if none is known."""
-        size, at = len(self.rows), []
-        for c, (chain, sure) in enumerate(zip(self.chains, self.known)):
-            at += [((k == sure) * size + place) * FOLDS + c % FOLDS for k, (_, _, place) in enumerate(chain) if place >= 0]
-        counts = np.bincount(np.array(at, dtype=np.int64), minlength=2 * size * FOLDS).astype(float).reshape(2, size, FOLDS)
-        if not counts[1].any():
+        size, at, yes = len(self.rows), [], []
+        for c, (places, sure) in enumerate(zip(self.at, self.known)):
+            fold = c % FOLDS
+            at += [place * FOLDS + fold for place in places if place >= 0]
+            if sure >= 0:  # a row of its own: no other event has it
+                yes.append(places[sure] * FOLDS + fold)
+        if not yes:
             return {}
-        plain = _Rows(self.plain, len(self.names))
-        return self._learned(plain, _told_apart(plain, counts[1], counts[0]), counts.sum(axis=(0, 2)))
+        both, known = (np.bincount(np.array(found, dtype=np.int64), minlength=size * FOLDS).astype(float).reshape(size, FOLDS) for found in (at, yes))
+        single = [f[0] not in _PAIRED for f in self.names]
+        plain = _Rows(self.rows if all(single) else [[i for i in row if single[i]] for row in self.rows], len(self.names))
+        return self._learned(plain, _told_apart(plain, known, both - known), both.sum(axis=1))
 
-    def _labels(self, labeller: dict[str, float]) -> list[dict[int, int]]:
+    def _labels(self, labeller: dict[str, float], rows: _Rows) -> list[dict[int, int]]:
         """Tags by event of each chain."""
-        said = (_Rows(self.plain, len(self.names)).scores(np.array([labeller.get(f, 0.0) for f in self.names])) > 0).tolist()
+        said = (rows.scores(np.array([labeller.get(f, 0.0) for f in self.names])) > 0).tolist()
         labels = []
-        for chain, sure in zip(self.chains, self.known):
-            tags = {k: int(k == sure or said[place]) for k, (_, _, place) in enumerate(chain) if place >= 0}
+        for chain, places, sure in zip(self.chains, self.at, self.known):
+            tags = {k: int(k == sure or said[place]) for k, place in enumerate(places) if place >= 0}
             opened = None
             for k, (kind, _, _) in enumerate(chain):  # what lies in a group whose end is inside is inside
                 if kind == "open":
@@ -556,10 +774,10 @@ class Shard:
         """Weights of features and transitions learned from the labels."""
         if not self.rows:
             return {}
-        labels = self._labels(labeller)
-        at = [tag * len(self.rows) + chain[k][2] for chain, tags in zip(self.chains, labels) for k, tag in tags.items()]
-        tagged = np.bincount(np.array(at, dtype=np.int64), minlength=2 * len(self.rows)).astype(float).reshape(2, -1)
         rows = _Rows(self.rows, len(self.names))
+        labels = self._labels(labeller, rows)
+        at = [tag * len(self.rows) + places[k] for places, tags in zip(self.at, labels) for k, tag in tags.items()]
+        tagged = np.bincount(np.array(at, dtype=np.int64), minlength=2 * len(self.rows)).astype(float).reshape(2, -1)
         weights = self._perceptron(labels, rows.regression(tagged[1], tagged[0], 0.3).tolist(), rounds)
         out = self._learned(rows, np.array(weights[: rows.size]), tagged.sum(axis=0))
         return out | {f: (w, len(at)) for f, w in zip(_TURNED, weights[rows.size :])}
@@ -569,13 +787,15 @@ class Shard:
         size = len(first)
         turns = {(a, b, g): size + i for i, (a, b, g) in enumerate((a, b, g) for a in (0, 1) for b in (0, 1) for g in "01234")}
         weights, sums = first + [0.0] * len(turns), [0.0] * (size + len(turns))
+        same = np.array(weights)  # for sums over many rows
         step = 1
 
         def move(i: int, by: float) -> None:
             weights[i] += by
             sums[i] += step * by
+            same[i] = weights[i]
 
-        def walked(chain: list[tuple[str, int, int]], tags: list[int]) -> Counter:
+        def walked(chain: list[Event], tags: list[int]) -> Counter:
             found: Counter = Counter()
             last, at_last = 0, -1000
             for (kind, at, _), tag in zip(chain, tags):
@@ -587,34 +807,147 @@ class Shard:
         # In half of the visits an event hides its tokens, so that shapes and marks are learned for tokens never seen.
         hidden = {i for f, i in self.names.items() if f[0] in _TOKENS}
         by_hidden = (self.rows, [[i for i in ids if i not in hidden] for ids in self.rows])
+        grouped = [groups(chain) for chain in self.chains]
+        visits = _Visits(self, labels, grouped, _Rows(by_hidden[0] + by_hidden[1], size))
         order = np.random.default_rng(1)
-        now: Turns = {}
         for _ in range(rounds):
-            for c in order.permutation(len(self.chains)).tolist():
-                chain = self.chains[c]
-                if not chain:
-                    continue
-                used = [by_hidden[hide][place] if place >= 0 else [] for (_, _, place), hide in zip(chain, (order.random(len(chain)) < 0.5).tolist())]
-                scores = [sum([weights[i] for i in ids]) if ids else _NO for ids in used]
-                now = now or {g: tuple(weights[turns[a, b, g]] for a in (0, 1) for b in (0, 1)) for g in "01234"}
-                got = viterbi(chain, scores, now)
-                if all([got[k] == tag for k, tag in labels[c].items()]):
-                    step += 1
-                    continue
-                want = viterbi(chain, scores, now, labels[c])
-                for ids, a, b in zip(used, want, got):
-                    if a != b:
-                        for i in ids:
-                            move(i, STEP if a else -STEP)
-                gold, guess = walked(chain, want), walked(chain, got)
-                for i in {*gold, *guess}:
-                    if gold[i] != guess[i]:
-                        move(i, TURN_STEP * (gold[i] - guess[i]))
-                step += 1
-                now = {}
+            visits.draw(order)
+            now: Turns = {}
+            v = done = 0
+            while v < len(self.chains):
+                if not now:
+                    now = {g: tuple(weights[turns[a, b, g]] for a in (0, 1) for b in (0, 1)) for g in "01234"}
+                    most, limits, added = sway(now), _limits(now), _added(now)
+                doubted, stop = visits.doubted(v, same, limits, added)
+                for v in doubted:
+                    c, hides = visits.visit(v)
+                    chain = self.chains[c]
+                    step, done = step + int(visits.before[v] - done), int(visits.before[v])
+                    used = [by_hidden[hide][place] if place >= 0 else [] for place, hide in zip(self.at[c], hides)]
+                    scores = [sum([weights[i] for i in ids]) if ids else _NO for ids in used]
+                    got = decoded(chain, scores, now, most, grouped[c])
+                    if all([got[k] == tag for k, tag in labels[c].items()]):
+                        continue
+                    want = viterbi(chain, scores, now, labels[c])
+                    for ids, a, b in zip(used, want, got):
+                        if a != b:
+                            for i in ids:
+                                move(i, STEP if a else -STEP)
+                    gold, guess = walked(chain, want), walked(chain, got)
+                    for i in {*gold, *guess}:
+                        if gold[i] != guess[i]:
+                            move(i, TURN_STEP * (gold[i] - guess[i]))
+                    now, stop = {}, v + 1
+                    break
+                v = stop
+            step += int(visits.before[-1] - done)
         return [w - s / step for w, s in zip(weights, sums)]
 
 
+def _limits(turns: Turns) -> np.ndarray:
+    """As ``sway``, by the classes of the distances before and after (5: nothing comes after), six to a row."""
+    into = [max(abs(t[2 * a + 1] - t[2 * a]) for a in (0, 1)) for t in (turns[g] for g in "01234")]
+    out = [max(abs(t[2 + b] - t[b]) for b in (0, 1)) for t in (turns[g] for g in "01234")] + [0.0]
+    return np.add.outer(into, out).ravel() + 1e-6
+
+
+def _added(turns: Turns) -> np.ndarray:
+    """What transitions add to the score of a boundary, by the classes of distances as in ``_limits`` and the tags before and after."""
+    out = [[t[2 + b] - t[b] for b in (0, 1)] for t in (turns[g] for g in "01234")] + [[0.0, 0.0]]
+    return np.array([turns[g][2 * a + 1] - turns[g][2 * a] + after[b] for g in "01234" for after in out for a in (0, 1) for b in (0, 1)])
+
+
+def _ranges(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers from each start on, as many as counted, end to end."""
+    ends = np.cumsum(counts)
+    return np.repeat(start - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Visits:
+    """Visits of a shard's chains in random order: those are found together whose labels the weights surely reproduce.
+
+    They do where the score of every labelled event is beyond what transitions can add, or a group rules it out; or else
+    beyond what they do add, if both events beside it are sure.
+    """
+
+    #: Visits that are looked at together.
+    BLOCK = 96
+
+    def __init__(self, shard: Shard, labels: list[dict[int, int]], grouped: list[list[tuple[int, int]]], rows: _Rows):
+        self.rows, self.distinct = rows, len(rows.start) // 2
+        self.lengths = np.array([len(chain) for chain in shard.chains], dtype=np.int64)
+        total = int(self.lengths.sum())
+        begin = np.cumsum(self.lengths) - self.lengths
+        events = [event for chain in shard.chains for event in chain]
+        label = np.full(total, -1)
+        label[[at + k for at, tags in zip(begin.tolist(), labels) for k in tags]] = [tag for tags in labels for tag in tags.values()]
+        hard, ruled = np.zeros(total, bool), np.zeros(total, bool)
+        for at, size, own, found in zip(begin.tolist(), self.lengths.tolist(), shard.at, grouped):
+            for opened, shut in found:
+                if shut == -2:
+                    hard[at : at + size] = True
+                elif shut >= 0 and own[shut] < 0:
+                    ruled[at + opened : at + shut + 1] = True
+        tagged = np.array([k for k, event in enumerate(events) if event[0] != "open"], dtype=np.int64)
+        of = np.repeat(np.arange(len(begin)), self.lengths)[tagged]
+        first = np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]
+        final = np.concatenate([first[1:], [True]])[: len(of)]
+        gaps = np.diff(np.array([events[k][1] for k in tagged.tolist()], dtype=np.int64), prepend=0)
+        gaps = np.where(first, 4, np.array([int(_gap(n)) for n in range(26)])[np.clip(gaps, 0, 25)])
+        tag = np.maximum(label[tagged], 0)
+        code = 6 * gaps + np.where(final, 5, np.roll(gaps, -1))
+        beside = 4 * code + 2 * np.where(first, 0, np.roll(tag, 1)) + np.where(final, 0, np.roll(tag, -1))
+        known = label[tagged] >= 0
+        at = tagged[known]
+        self.code, self.beside, self.position = code[known], beside[known], at - begin[of[known]]
+        self.places = np.fromiter(laid.from_iterable(shard.at), np.int64, total)[at]
+        self.sign = np.where(hard[at], 0, 2 * label[at] - 1)
+        self.ruled = ruled[at] & ~hard[at] & (label[at] == 0)
+        self.counts = np.array([len(tags) for tags in labels], dtype=np.int64)
+        self.start = np.cumsum(self.counts) - self.counts
+
+    def draw(self, order: np.random.Generator) -> None:
+        """The next round: an order of the chains, and which events hide their tokens."""
+        self.chain = order.permutation(len(self.lengths))
+        lengths, counts = self.lengths[self.chain], self.counts[self.chain]
+        self.hides = order.random(int(lengths.sum())) < 0.5
+        self.drawn = np.cumsum(lengths) - lengths
+        self.before = np.concatenate([[0], np.cumsum(lengths > 0)])  # visits of chains with events before each
+        self.event = _ranges(self.start[self.chain], counts)
+        self.bounds = np.concatenate([[0], np.cumsum(counts)])
+        self.of = np.repeat(np.arange(len(counts)), counts)
+        row = self.places[self.event] + self.distinct * self.hides[np.repeat(self.drawn, counts) + self.position[self.event]]
+        sizes = self.rows.lengths[row]
+        self.flat = self.rows.flat[_ranges(self.rows.start[row], sizes)]
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+
+    def visit(self, v: int) -> tuple[int, list[bool]]:
+        """The chain of a visit, and which of its events hide their tokens."""
+        c = int(self.chain[v])
+        return c, self.hides[self.drawn[v] : self.drawn[v] + self.lengths[c]].tolist()
+
+    def doubted(self, v: int, weights: np.ndarray, limits: np.ndarray, added: np.ndarray) -> tuple[list[int], int]:
+        """Of the visits from ``v`` on those that are to be decoded, and where the looked at ones end."""
+        stop = min(v + self.BLOCK, len(self.chain))
+        a, b = self.bounds[v], self.bounds[stop]
+        if a == b:
+            return [], stop
+        first = self.first[a : b + 1]
+        scores = np.add.reduceat(weights[self.flat[first[0] : first[-1]]], first[:-1] - first[0])
+        event = self.event[a:b]
+        sign, of = self.sign[event], self.of[a:b]
+        sure = (scores * sign > limits[self.code[event]]) | self.ruled[event]
+        other = np.flatnonzero(~sure)
+        if len(other):
+            # An event beside it that has no label is ruled out; the first and last of a visit have one neighbour.
+            padded = np.concatenate([[True], sure, [True]])
+            visit = np.concatenate([[-1], of, [-1]])
+            alone = (padded[other] | (visit[other] != of[other])) & (padded[other + 2] | (visit[other + 2] != of[other]))
+            decided = alone & ((scores[other] + added[self.beside[event[other]]]) * sign[other] > 1e-6)
+            other = other[~decided]
+        return np.unique(of[other]).tolist(), stop
+
+
 _TURNED = [f"t{a}{b}{g}" for a in (0, 1) for b in (0, 1) for g in "01234"]
 
 
@@ -627,7 +960,7 @@ def learn(texts: Iterable[str], rounds: int = 3) -> Model:
     """A model learned from texts alone, as one shard: no labels, no word lists."""
     chains, known, lexicon = examples(texts)
     shard = Shard(lexicon)
-    shard.add(chains, known)
+    shard.add(zip(chains, known))
     labeller = shard.labeller()
     if not labeller:
         return Model({}, lexicon)

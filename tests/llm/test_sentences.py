@@ -7,7 +7,7 @@ import pytest
 
 from terravane.llm.prose import masked
 from terravane.llm.sentences import sample_texts, sentence_ends, split_sentences, train
-from terravane.llm.tagger import Model, examples, learn
+from terravane.llm.tagger import Model, _joined, decoded, events, examples, groups, learn, read, sway, viterbi
 
 UNTRAINED = Model()
 
@@ -152,6 +152,49 @@ def test_all_texts_are_learned_from(spark):
     assert train(copies, "text", 200_000).weights == model.weights
 
 
+def test_texts_are_read_once(spark):
+    """Documents are read once, to learn and to tag; copies of a text give their sentences each, whatever their ids."""
+    texts = ["The kernel drifts. We saw it.\n\nIt is so. We agree.\n\nThe end."] * 10_003 + ["One is so."]
+    ids = [None, 2**60 + 1, *range(10_001), 2**60 + 3]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    docs = spark.createDataFrame([(None if i is None else str(i), t) for i, t in zip(ids, texts)], "id string, text string").mapInPandas(counted, "id string, text string")
+    out = split_sentences(docs, "id", "text").collect()
+    assert seen.value == len(texts)
+    per = {}
+    for r in out:
+        per.setdefault(r["doc_id"], []).append((r["sent_no"], r["sent_end"]))
+    assert set(per) == set(ids) and len({tuple(sorted(v)) for d, v in per.items() if d != 2**60 + 3}) == 1 and per[2**60 + 3] == [(1, 10)]
+
+
+def test_short_ways_give_the_same():
+    """Tags found from sure scores are those of Viterbi, chains patched at their ends are those of the joined paragraphs."""
+    rng = random.Random(5)
+    turns = {g: tuple(rng.gauss(0, 1) for _ in range(4)) for g in "01234"}
+    for _ in range(3000):
+        chain, scores, at, inside = [], [], 0, False
+        for _ in range(rng.randint(1, 9)):
+            at += rng.choice([1, 2, 5, 9, 40])
+            kind = rng.choice(["cand", "cand", "shut" if inside else "open"])
+            inside = kind == "open" or inside and kind != "shut"
+            chain.append((kind, at, None))
+            scores.append(0.0 if kind == "open" else rng.choice([rng.gauss(0, 2), rng.gauss(0, 12), float("-inf")]))
+        assert decoded(chain, scores, turns, sway(turns), groups(chain)) == viterbi(chain, scores, turns)
+    cases = [c.replace("|", "\n\n" if i % 2 else "") for i, c in enumerate(CASES)] + ["A (b.\n\n» C. D [e.\n\nF.) g \\cite{x}\n\n(H; i.\n\nΤι; Ναι.\n\n“下。”\n\n“下。", "他说。下\n\n下。\n\n！是。"]
+    for text in [*cases, "\n\n".join(cases), *_texts("sf0.001")]:
+        _, chains, parts = read(text)
+        for (chain, known), first, second in zip(chains, parts, parts[1:]):
+            both, joint = _joined(first, second)
+            wanted = [e for e in events(both, len(both), joint)[0] if e[1] <= joint]
+            assert chain == wanted
+            assert known == max((k for k, e in enumerate(wanted) if e[0] != "open" and e[1] == joint and e[2]), default=-1)
+
+
 THAI = "ค่าเฉลี่ยคือ 2.5 หน่วย งานวิจัยนี้วัดผล รูปที่ 8 แสดง"
 #: Words of Lao, a script that this project's data do not hold.
 LAO = ["ການວິໄຈ", "ວັດແທກ", "ຄວາມຖີ່", "ຜົນໄດ້ຮັບ", "ສອດຄ່ອງ", "ກັບ", "ແບບຈຳລອງ"]
